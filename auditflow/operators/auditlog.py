@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditflow.functions.lineage import cut
 from auditflow.functions.text import contains_any
 
 LOG_DDL = (
@@ -74,7 +75,7 @@ def assign_log_ids(log: DataFrame, order: list[str]) -> DataFrame:
     executor is lost.  Only one count per partition reaches the driver.
     """
     row = F.monotonically_increasing_id()
-    placed = log.drop("id").orderBy(*order).withColumn("_row", row).checkpoint()
+    placed = cut(log.drop("id").orderBy(*order).withColumn("_row", row))
     part, offset = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("p")).count().orderBy("p").collect()
     starts, total = {}, 0
@@ -151,10 +152,11 @@ def activity_bins(log: DataFrame, order: tuple[str, ...] = ("id",)) -> DataFrame
 
 def audit_summary(log: DataFrame, financial_first: bool = False) -> DataFrame:
     """Totals and bucket counts of the log in one pass over it."""
-    per_entry = {
-        f"{out}_count": F.size(F.filter("categories", lambda c, n=name: bucket_of(c, financial_first) == n))
-        for name, out in (("secret", "secrets"), ("pii", "pii"), ("financial", "financial"))
-    }
+    def mentions(bucket: str) -> Column:
+        return F.size(F.filter("categories", lambda c: bucket_of(c, financial_first) == bucket))
+
+    per_entry = {f"{out}_count": mentions(name)
+                 for name, out in (("secret", "secrets"), ("pii", "pii"), ("financial", "financial"))}
     return log.select(F.coalesce("threats_count", F.lit(0)).alias("t"),
                       *[F.greatest(v, F.lit(0)).alias(k) for k, v in per_entry.items()]).agg(
         F.count("*").alias("total_events"), F.coalesce(F.sum("t"), F.lit(0)).alias("total_threats_blocked"),

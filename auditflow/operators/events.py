@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditflow.functions.lineage import cut
 from auditflow.functions.text import strip
 from auditflow.operators.sequences import SLICE, running
 
@@ -37,18 +38,12 @@ def read_control(users: DataFrame, control: DataFrame, key: str = "user") -> Dat
 
 def pause_states(control: DataFrame, keys: list[str]) -> DataFrame:
     """``control`` (keys, ts, paused) with the state after each row; a null ``paused`` flips it."""
-    order = ["ts"]
-    sliced = control.withColumn(SLICE, F.date_trunc("day", "ts"))
-    flips = running(sliced, keys, order, sums={"_flips": F.col("paused").isNull().cast("int")})
-    resolved = running(flips, keys, order, last={"_set": F.when(
-        F.col("paused").isNotNull(), F.struct("paused", F.col("_flips").alias("at")))})
-    return resolved.withColumn("is_paused", _flipped(
-        F.coalesce("_set.paused", F.lit(False)), F.col("_flips") - F.coalesce("_set.at", F.lit(0)))
-    ).drop("_flips", "_set", SLICE)
-
-
-def _flipped(value: Column, times: Column) -> Column:
-    return value != (F.pmod(times, F.lit(2)) == 1)
+    flip = F.col("paused").isNull()
+    resolved = running(
+        control.withColumn(SLICE, F.date_trunc("day", "ts")), keys, ["ts"],
+        last={"_set": F.col("paused")}, since={"_flips": (flip.cast("int"), ~flip)})
+    odd = F.pmod("_flips", F.lit(2)) == 1
+    return resolved.withColumn("is_paused", F.coalesce("_set", F.lit(False)) != odd).drop("_flips", "_set", SLICE)
 
 
 def with_pause_state(events: DataFrame, control: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,33 +84,29 @@ def guard_decisions(audited: DataFrame, keys: list[str], order: list[str], text_
         F.when(changed, "dirty").when(has_findings, "unchanged").otherwise("clean").alias("_kind"),
         F.sha2(text_col, 256).alias("_in"), F.sha2("sanitized_text", 256).alias("_out"),
     )
+    seen = cut(seen)
+    is_dirty = F.col("_kind") == "dirty"
     # Events with findings: turn, repeat or reset against the previous one.
-    dirty = running(seen.where("_kind = 'dirty'"), keys, order,
-                    previous={"_prev": F.struct("_in", "_out")})
+    paired = running(seen.where(is_dirty), keys, order, before={"_prev": F.struct("_in", "_out")})
     turn = F.coalesce(F.col("_in") == F.col("_prev._out"), F.lit(False))
     reset = ~turn & ~F.coalesce(F.col("_in") == F.col("_prev._in"), F.lit(False))
-    turns = running(dirty.withColumns({"_turn": turn.cast("int"), "_reset": reset}), keys, order,
-                    sums={"_turns": F.col("_turn")})
-    base = running(turns, keys, order, last={"_base": F.when(F.col("_reset"), F.col("_turns"))})
-    skipped = F.pmod(F.col("_turns") - F.coalesce("_base", F.lit(0)), F.lit(2)) == 1
-    judged = base.withColumn("_skip", skipped).select(*seen.columns, "_skip")
+    turned = running(paired, keys, order, since={"_turns": (turn.cast("int"), reset)})
+    judged = turned.select(*seen.columns, (F.pmod("_turns", F.lit(2)) == 1).alias("_skip"))
 
     # All events: the last text written and the number of interceptions so far.
-    rest = seen.where("_kind <> 'dirty'").withColumn("_skip", F.lit(False))
-    written = (F.col("_kind") == "dirty") & ~F.col("_skip")
-    every = running(judged.unionByName(rest), keys, order,
-                    sums={"_writes": written.cast("int")},
+    rest = seen.where(~is_dirty).withColumn("_skip", F.lit(False))
+    written = is_dirty & ~F.col("_skip")
+    every = running(cut(judged.unionByName(rest)), keys, order, sums={"_writes": written.cast("int")},
                     last={"_written": F.when(written, F.col("_out"))})
-    own = (F.col("_kind") != "dirty") & F.coalesce(F.col("_in") == F.col("_written"), F.lit(False))
-    marked = every.withColumn("_own", own | F.col("_skip"))
+    own = ~is_dirty & F.coalesce(F.col("_in") == F.col("_written"), F.lit(False))
+    marked = cut(every.withColumn("_own", own | F.col("_skip")))
 
     # Clean events that were audited: the same text as the one before, nothing intercepted between.
     is_clean = (F.col("_kind") == "clean") & ~F.col("_own")
-    clean = running(marked.where(is_clean), keys, order, previous={"_before": F.struct("_in", "_writes")})
+    clean = running(marked.where(is_clean), keys, order, before={"_before": F.struct("_in", "_writes")})
     repeat = F.coalesce(F.col("_before") == F.struct("_in", "_writes"), F.lit(False))
-    named = clean.withColumn("status", F.when(repeat, "clean_repeat").otherwise("clean")).drop("_before")
+    named = clean.withColumn("status", F.when(repeat, "clean_repeat").otherwise("clean"))
     others = marked.where(~is_clean).withColumn(
-        "status", F.when(F.col("_own"), "own_output").when(F.col("_kind") == "dirty", "intercepted")
-        .otherwise("unchanged"))
+        "status", F.when(F.col("_own"), "own_output").when(is_dirty, "intercepted").otherwise("unchanged"))
     out = [c for c in seen.columns if not c.startswith("_")]
-    return named.unionByName(others).select(*out, "status")
+    return named.select(*out, "status").unionByName(others.select(*out, "status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditflow.functions.lineage import cut
 from auditflow.functions.text import computed_once, escape_html, replace_tokens
 from auditflow.operators.anonymize import vault_entries
 
@@ -75,12 +76,13 @@ def _nested(store: DataFrame) -> DataFrame | None:
     ).join(known, ["scope", "inner"], "left_semi")
     if edges.isEmpty():
         return None
+    edges = cut(edges)
     reach, latest = edges, edges
     while True:
         onward = edges.select("scope", F.col("token").alias("inner"), F.col("inner").alias("next"))
-        latest = latest.join(onward, ["scope", "inner"]).select(
+        latest = cut(latest.join(onward, ["scope", "inner"]).select(
             "scope", "token", F.col("next").alias("inner")).distinct().join(
-            reach, ["scope", "token", "inner"], "left_anti").checkpoint()
+            reach, ["scope", "token", "inner"], "left_anti"))
         if latest.isEmpty():
             return reach
         reach = reach.unionByName(latest)

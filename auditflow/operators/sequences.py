@@ -1,8 +1,8 @@
 """Running values over ordered events that stay parallel when one key is hot.
 
 A window over a key sorts all its rows in one task.  Here a key is cut into slices
-(by time, say): the rows are windowed per key *and slice*, the slices are reduced
-to one row each, and what the earlier slices carry over is joined back.  Only the
+(by time, say): the rows are windowed per key *and slice*, each slice is reduced to
+its last row, and what the earlier slices carry over is joined back.  Only the
 slice rows of a key meet in one task.
 """
 
@@ -15,34 +15,53 @@ SLICE = "_slice"
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
-            last: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+            last: dict[str, Column] | None = None, before: dict[str, Column] | None = None,
+            since: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Add running columns to ``df``, which has a ``_slice`` column that agrees with ``order``.
 
-    ``sums``: sum up to and including the row.  ``last``: latest non-null value up to
-    and including the row.  ``previous``: value of the row before (must not be null).
+    ``sums``: the sum up to the row.  ``last``: the latest non-null value up to the
+    row; ``before``: the same without the row itself.  ``since``: pairs (value,
+    reset), the sum of the values after the latest row with ``reset``, whose own
+    value does not count.
     """
-    sums, last, previous = sums or {}, last or {}, previous or {}
-    ordered = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    to_here = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.struct(*order)
+    sums, last, before, since = sums or {}, last or {}, before or {}, since or {}
+    rows = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    to_here = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_last = rows.rowsBetween(Window.unboundedPreceding, -1)
 
     local = df.withColumns(
-        {n: F.sum(e).over(to_here) for n, e in sums.items()}
-        | {n: F.last(e, ignorenulls=True).over(to_here) for n, e in last.items()}
-        | {n: F.lag(e).over(ordered) for n, e in previous.items()}
+        {f"_s_{n}": F.sum(e).over(to_here) for n, e in sums.items()}
+        | {f"_s_{n}": F.sum(e).over(to_here) for n, (e, _) in since.items()}
+        | {f"_l_{n}": F.last(e, ignorenulls=True).over(to_here) for n, e in {**last, **before}.items()}
+        | {f"_b_{n}": F.last(e, ignorenulls=True).over(to_last) for n, e in before.items()}
     )
-    reduced = df.groupBy(*keys, SLICE).agg(
-        *[F.sum(e).alias(n) for n, e in sums.items()],
-        *[F.max_by(e, F.when(e.isNotNull(), at)).alias(n) for n, e in {**last, **previous}.items()],
-    )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = reduced.select(
+    # For `since`: the running sum at the latest reset within the slice.
+    local = local.withColumns({
+        f"_r_{n}": F.last(F.when(reset, F.col(f"_s_{n}")), ignorenulls=True).over(to_here)
+        for n, (_, reset) in since.items()
+    })
+    ends = [c for c in local.columns if c.startswith(("_s_", "_l_", "_r_"))]
+    reduced = local.groupBy(*keys, SLICE).agg(F.max_by(F.struct(*ends), F.struct(*order)).alias("_e")).select(
+        *keys, SLICE, "_e.*")
+
+    slices = Window.partitionBy(*keys).orderBy(SLICE)
+    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = reduced.withColumns({f"_t_{n}": F.sum(f"_s_{n}").over(so_far) for n in (*sums, *since)})
+    # A slice with a reset ends with what came after it, and its running total to measure from.
+    carried = totals.select(
         *keys, SLICE,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
-        *[F.last(n, ignorenulls=True).over(before).alias(f"_c_{n}") for n in (*last, *previous)],
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in (*sums, *since)],
+        *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in (*last, *before)],
+        *[F.last(F.when(F.col(f"_r_{n}").isNotNull(), F.col(f"_t_{n}") - (F.col(f"_s_{n}") - F.col(f"_r_{n}"))),
+                 ignorenulls=True).over(earlier).alias(f"_z_{n}") for n in since],
     )
     joined = local.join(carried, [*keys, SLICE])
-    return joined.withColumns(
-        {n: F.col(n) + F.col(f"_c_{n}") for n in sums}
-        | {n: F.coalesce(n, f"_c_{n}") for n in (*last, *previous)}
-    ).select(*df.columns, *sums, *last, *previous)
+    return joined.select(
+        *df.columns,
+        *[(F.col(f"_s_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in last],
+        *[F.coalesce(f"_b_{n}", f"_c_{n}").alias(n) for n in before],
+        *[F.when(F.col(f"_r_{n}").isNotNull(), F.col(f"_s_{n}") - F.col(f"_r_{n}")).otherwise(
+            F.col(f"_s_{n}") + F.col(f"_c_{n}") - F.coalesce(f"_z_{n}", F.lit(0))).alias(n) for n in since],
+    )
