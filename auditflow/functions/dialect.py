@@ -12,7 +12,10 @@ import re
 
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
-_BOUNDARY = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
+# A look-behind steps back one UTF-16 unit, and so misreads a letter outside the
+# basic plane, unless a character from there is written in it: hence the (redundant) 𝐀.
+_BEHIND = WORD + "𝐀"
+_BOUNDARY = rf"(?:(?<![{_BEHIND}])(?=[{WORD}])|(?<=[{_BEHIND}])(?![{WORD}]))"
 
 _ONLY_WORD = re.compile(r"(?:[A-Za-z0-9](?:-[A-Za-z0-9])?|\\p\{Nd\})+")
 
@@ -31,7 +34,7 @@ def java_regex(pattern: str, lead: str | None = None) -> str:
     if lead is not None:
         out.append(f"(?=[{lead}])")
         if pattern.startswith(r"\b") and _ONLY_WORD.fullmatch(lead):
-            out.append(rf"(?<![{WORD}])")
+            out.append(rf"(?<![{_BEHIND}])")
             i = 2
     while i < len(pattern):
         pair, ch = pattern[i : i + 2], pattern[i]
