@@ -13,15 +13,20 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, F.lit(STRIP_REGEX), F.lit(""))
 
 
-def literal_regex(col: Column) -> Column:
-    """A regex that matches the text of ``col`` literally (``\\Q..\\E`` quoting)."""
-    body = F.replace(col, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    return F.concat(F.lit(r"\Q"), body, F.lit(r"\E"))
+def sql_text(value: str) -> str:
+    """``value`` as a SQL string literal without escapes."""
+    if "'" in value:
+        raise ValueError("a raw literal cannot hold a single quote")
+    return f"r'{value}'"
 
 
-def split_literal(text: Column, needle: Column) -> Column:
-    """Pieces of ``text`` around the non-overlapping occurrences of ``needle``."""
-    return F.split(text, literal_regex(needle), -1)
+def sql_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def sql_strings(values: tuple[str, ...] | list[str]) -> str:
+    """``values`` as a SQL array of strings."""
+    return f"cast(array({', '.join(sql_text(v) for v in values)}) as array<string>)"
 
 
 def replace_tokens(text: Column, entries: Column) -> Column:
@@ -56,10 +61,3 @@ def contains_any(col: Column, words: tuple[str, ...]) -> Column:
     for word in words:
         hit = hit | F.contains(col, F.lit(word))
     return hit
-
-
-def string_array(values: tuple[str, ...] | list[str]) -> Column:
-    """A constant ``ARRAY<STRING>``, folded by the optimizer from one literal."""
-    if not values:
-        return F.array().cast("array<string>")
-    return F.split(F.lit("\x1f".join(values)), "\x1f")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.text import computed_once, contains_any
+from auditflow.functions.text import computed_once
 
 MASK_MODES = ("synthetic", "redacted")
 TOKEN = "struct<start:int,finding_ord:int,len:int,category:string,tag:string,token:string,original:string>"
@@ -41,17 +41,15 @@ ENTITY_TAGS: tuple[tuple[tuple[str, ...], str], ...] = (
 )
 
 
-def tag_of(f: Column) -> Column:
-    """The tag of a finding: from its bracketed suggestion, else from its type."""
-    suggested = F.coalesce(f["suggested_synthetic"], F.lit(""))
-    entity = F.coalesce(f["entity_type"], F.lit(""))
-    bare = F.regexp_replace(suggested, r"^[\[\]]+|[\[\]]+\z", "")
-    from_suggestion = F.regexp_replace(bare, r"_[^_]*\z", "")
-    bracketed = suggested.startswith("[") & suggested.endswith("]")
-    chain = F.when(bracketed, from_suggestion)
-    for words, tag in ENTITY_TAGS:
-        chain = chain.when(contains_any(entity, words), F.lit(tag))
-    return chain.otherwise(F.coalesce(f["category"], F.lit("PII")))
+def tag_of(f: str) -> str:
+    """SQL for the tag of finding ``f``: from its bracketed suggestion, else from its type."""
+    suggested, entity = f"coalesce({f}.suggested_synthetic, '')", f"coalesce({f}.entity_type, '')"
+    chain = " ".join(
+        "WHEN " + " OR ".join(f"contains({entity}, '{w}')" for w in words) + f" THEN '{tag}'"
+        for words, tag in ENTITY_TAGS)
+    return (f"CASE WHEN startswith({suggested}, '[') AND endswith({suggested}, ']') "
+            rf"THEN regexp_replace(regexp_replace({suggested}, r'^[\[\]]+|[\[\]]+\z', ''), r'_[^_]*\z', '') "
+            f"{chain} ELSE coalesce({f}.category, 'PII') END")
 
 
 def _end(span: Column) -> Column:

@@ -6,11 +6,11 @@ stay in its row as an array until a caller asks for the exploded table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.dialect import java_regex
-from auditflow.functions.text import computed_once, string_array, strip
+from auditflow.functions.dialect import STRIP_REGEX, java_regex
+from auditflow.functions.text import computed_once, sql_name, sql_strings, sql_text
 from auditflow.operators.gates import GATES, is_open, with_gates
 from auditflow.rules import RULES, Pattern, Rule, patterns
 
@@ -31,32 +31,27 @@ def _gates(rules: tuple[Rule, ...]):
     return out
 
 
-def _matches(text: Column, pattern: Pattern, gate) -> Column:
-    regex = java_regex(pattern.regex, gate.lead if gate else None)
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(pattern.group))
-    if gate is None:
-        return found
-    return F.when(is_open(gate), found).otherwise(string_array(()))
+def _matches(text: str, pattern: Pattern, gate) -> str:
+    """SQL for all values of one pattern; empty where its gate is shut."""
+    regex = sql_text(java_regex(pattern.regex, gate.lead if gate else None))
+    found = f"regexp_extract_all({text}, {regex}, {pattern.group})"
+    return found if gate is None else f"CASE WHEN {is_open(gate)} THEN {found} ELSE {sql_strings(())} END"
 
 
 def with_matches(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Add ``_hits``: the stripped values of all patterns in evaluation order.
 
-    A value shorter than two characters after stripping is dropped.
+    A value shorter than two characters after stripping is dropped.  The expressions
+    are put together as SQL: a call per pattern and gate would cost seconds.
     """
-    text, kept = F.col(text_col), df.columns
-    gates, flat = _gates(rules), patterns(rules)
-    gated = with_gates(df, text, gates)
-    raw = F.array(*[_matches(text, p, g) for p, g in zip(flat, gates, strict=True)])
-    rule_of = F.array(*[F.lit(p.rule_ord) for p in flat])
-    scanned = gated.select(*kept, raw.alias("_raw"))
-    hits = F.flatten(F.transform("_raw", lambda values, i: F.transform(values, lambda v: F.struct(
-        F.get(rule_of, i).alias("rule_ord"), strip(v).alias("quote")
-    ))))
+    kept, gates, flat = df.columns, _gates(rules), patterns(rules)
+    every = ", ".join(_matches(sql_name(text_col), p, g) for p, g in zip(flat, gates, strict=True))
+    rule_of = f"array({', '.join(str(p.rule_ord) for p in flat)})"
+    scanned = with_gates(df, text_col, gates).select(*kept, F.expr(f"array({every})").alias("_raw"))
+    hits = (f"flatten(transform(_raw, (vals, i) -> transform(vals, v -> named_struct('rule_ord', get({rule_of}, i), "
+            f"'quote', regexp_replace(v, {sql_text(STRIP_REGEX)}, '')))))")
     return scanned.select(
-        *kept,
-        F.filter(hits, lambda h: F.length(h["quote"]) >= MIN_VALUE_LENGTH).alias("_hits"),
-    )
+        *kept, F.expr(f"filter({hits}, h -> length(h.quote) >= {MIN_VALUE_LENGTH})").alias("_hits"))
 
 
 def with_findings(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -67,37 +62,18 @@ def with_findings(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     """
     kept = df.columns
     hits = with_matches(df, text_col, rules)
-
-    fields = {name: string_array([getattr(r, name) for r in rules])
-              for name in ("label", "category", "severity", "prefix")}
-
-    def lookup(field: str, rule_ord: Column) -> Column:
-        return F.get(fields[field], rule_ord - 1)
-
-    firsts = hits.select(*kept, "_hits", F.array_distinct(F.col("_hits.quote")).alias("_quotes"))
-    ordered = firsts.select(*kept, F.transform("_quotes", lambda q, i: F.struct(
-        (i + 1).alias("n"),
-        F.get(F.col("_hits.rule_ord"), (F.array_position(F.col("_hits.quote"), q) - 1).cast("int")).alias("rule_ord"),
-        q.alias("quote"),
-    )).alias("_firsts"))
-
-    def finding(f: Column) -> Column:
-        n = f["n"].cast("string")
-        label = lookup("label", f["rule_ord"])
-        return F.struct(
-            f["n"].alias("finding_ord"),
-            f["rule_ord"].alias("rule_ord"),
-            F.concat(F.lit("p"), n).alias("id"),
-            lookup("category", f["rule_ord"]).alias("category"),
-            lookup("severity", f["rule_ord"]).alias("severity"),
-            f["quote"].alias("verbatim_quote"),
-            label.alias("entity_type"),
-            F.concat(F.lit("["), lookup("prefix", f["rule_ord"]), F.lit("_"), n, F.lit("]")).alias("suggested_synthetic"),
-            F.concat(F.lit("Matches standard structure for sensitive "), label, F.lit(".")).alias("risk_explanation"),
-            F.lit("pattern_rule").alias("source"),
-        )
-
-    found = F.transform("_firsts", finding).cast(f"array<{FINDING}>")
+    firsts = hits.select(*kept, "_hits", F.expr("array_distinct(_hits.quote)").alias("_quotes"))
+    ordered = firsts.select(*kept, F.expr(
+        "transform(_quotes, (q, i) -> named_struct('n', i + 1, 'quote', q, 'rule_ord', "
+        "get(_hits.rule_ord, cast(array_position(_hits.quote, q) - 1 as int))))").alias("_firsts"))
+    of_rule = {name: f"get({sql_strings([getattr(r, name) for r in rules])}, f.rule_ord - 1)"
+               for name in ("label", "category", "severity", "prefix")}
+    finding = ", ".join((
+        "f.n", "f.rule_ord", "concat('p', f.n)", of_rule["category"], of_rule["severity"], "f.quote", of_rule["label"],
+        f"concat('[', {of_rule['prefix']}, '_', f.n, ']')",
+        f"concat('Matches standard structure for sensitive ', {of_rule['label']}, '.')", "'pattern_rule'",
+    ))
+    found = F.expr(f"cast(transform(_firsts, f -> struct({finding})) as array<{FINDING}>)")
     return ordered.select(*kept, computed_once(found).alias("findings"))
 
 

@@ -13,11 +13,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditflow.functions.dialect import SPACE
-from auditflow.functions.text import contains_any, string_array
+from auditflow.functions.text import sql_name, sql_strings, sql_text
 
 PREFIX = 4  # letters kept of each word; gate words are cut to the same length
 
@@ -50,8 +50,10 @@ PROBES = {
     "a_slash_c": r"[aA]/[cC]",
     "withdrew": r"[wW](?iu)ithdrew",
 }
-# Probes that need a decimal digit are skipped where the text has none.
-_DIGIT_PROBES = ("digit_group", "six_digits", "code", "unit", "currency", "dotted")
+# What a probe cannot do without, tested first: a digit, a character, a word beginning.
+_NEEDS_DIGIT = ("digit_group", "six_digits", "code", "unit", "currency", "dotted")
+_NEEDS_CHARACTER = {"mail": "@", "handle": "@", "a_slash_c": "/", "comma_id": ","}
+_NEEDS_WORD = {"withdrew": "with"}
 
 _code = Gate("A-Z", probe="code")
 
@@ -126,36 +128,52 @@ _FOLDED = "ſKİı"
 _FOLDS_TO = "skii"
 
 
-def folded(text: Column) -> Column:
+def folded(text: str) -> str:
     """Lower case, with the four non-ASCII case variants of s, k and i folded too."""
-    return F.when(
-        contains_any(text, tuple(_FOLDED)), F.lower(F.translate(text, _FOLDED, _FOLDS_TO))
-    ).otherwise(F.lower(text))
+    special = " OR ".join(f"contains({text}, {sql_text(c)})" for c in _FOLDED)
+    return (f"CASE WHEN {special} THEN lower(translate({text}, {sql_text(_FOLDED)}, {sql_text(_FOLDS_TO)})) "
+            f"ELSE lower({text}) END")
 
 
-def word_beginnings(low: Column, words: tuple[str, ...]) -> Column:
-    """Which of ``words`` occur as the first PREFIX letters of a word of ``low``."""
-    starts = F.regexp_extract_all(low, F.lit(rf"([a-z]{{1,{PREFIX}}})[a-z]*+"), F.lit(1))
-    return F.array_intersect(starts, string_array(words))
+def word_beginnings(text: str, words: tuple[str, ...]) -> str:
+    """Which of ``words`` occur as the first PREFIX letters of a word of ``text``."""
+    regex = sql_text(rf"([a-z]{{1,{PREFIX}}})[a-z]*+")
+    return f"array_intersect(regexp_extract_all({folded(text)}, {regex}, 1), {sql_strings(words)})"
 
 
-def with_gates(df: DataFrame, text: Column, gates: list[Gate | None]) -> DataFrame:
+def with_gates(df: DataFrame, text_col: str, gates: list[Gate | None]) -> DataFrame:
     """Add ``_words`` and one boolean ``_p_<probe>`` per probe used by ``gates``."""
-    used = [g for g in gates if g is not None]
-    words = tuple(sorted({w for g in used for w in g.words}))
+    text, used = sql_name(text_col), [g for g in gates if g is not None]
+    if not used:
+        return df
     probes = sorted({p for g in used for p in (g.probe, g.also) if p})
-    df = df.withColumns({"_digit": text.rlike(r"\p{Nd}"), "_words": word_beginnings(folded(text), words)})
-    return df.withColumns({
-        f"_p_{p}": (F.col("_digit") & text.rlike(PROBES[p])) if p in _DIGIT_PROBES else text.rlike(PROBES[p])
-        for p in probes
-    })
-
-
-def is_open(gate: Gate | None) -> Column:
-    """Whether the gate is open, over the columns added by :func:`with_gates`."""
+    words = {w for g in used for w in g.words} | {w for p, w in _NEEDS_WORD.items() if p in probes}
+    df = df.withColumns({
+        "_digit": F.expr(rf"{text} RLIKE r'\p{{Nd}}'"),
+        "_words": F.expr(word_beginnings(text, tuple(sorted(words))))})
+    return df.withColumns({f"_p_{p}": F.expr(_probe(p, text, used)) for p in probes})
+
+
+def _probe(probe: str, text: str, gates: list[Gate]) -> str:
+    hit = f"{text} RLIKE {sql_text(PROBES[probe])}"
+    if probe in _NEEDS_DIGIT:
+        return f"_digit AND {hit}"
+    if probe in _NEEDS_CHARACTER:
+        return f"contains({text}, '{_NEEDS_CHARACTER[probe]}') AND {hit}"
+    if probe in _NEEDS_WORD:
+        return f"array_contains(_words, '{_NEEDS_WORD[probe]}') AND {hit}"
+    if all(probe != g.probe for g in gates):  # only ever asked for together with a word
+        words = sorted({w for g in gates if g.also == probe for w in g.words})
+        return f"arrays_overlap(_words, {sql_strings(words)}) AND {hit}"
+    return hit
+
+
+def is_open(gate: Gate | None) -> str:
+    """The condition under which the gate is open, over the columns of :func:`with_gates`."""
     if gate is None:
-        return F.lit(True)
-    hit = F.lit(False) if gate.probe is None else F.col(f"_p_{gate.probe}")
+        return "true"
+    hits = [f"_p_{gate.probe}"] if gate.probe else []
     if gate.words:
-        hit = hit | F.arrays_overlap("_words", string_array(gate.words))
-    return hit & F.col(f"_p_{gate.also}") if gate.also else hit
+        hits.append(f"arrays_overlap(_words, {sql_strings(gate.words)})")
+    opened = f"({' OR '.join(hits)})"
+    return f"{opened} AND _p_{gate.also}" if gate.also else opened

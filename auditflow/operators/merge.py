@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.text import computed_once, split_literal, strip
+from auditflow.functions.text import computed_once, sql_name, strip
 from auditflow.operators.anonymize import tag_of
 from auditflow.operators.detect import FINDING
 
@@ -51,24 +51,21 @@ def with_merged(df: DataFrame, semantic: DataFrame | None = None, key: str = "do
     return quoted.select(*kept, computed_once(numbered).alias("findings"))
 
 
-def _occurrences(text: Column, f: Column) -> Column:
-    """All non-overlapping occurrences of a finding's quote, left to right."""
-    width = F.length(f["verbatim_quote"])
-    pieces = split_literal(text, f["verbatim_quote"])
-    empty = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["pos"] + F.length(piece)
-        span = F.struct(
-            start.alias("start"), f["finding_ord"].alias("finding_ord"), width.alias("len"),
-            F.coalesce(f["category"], F.lit("PII")).alias("category"), tag_of(f).alias("tag"),
-        ).cast(SPAN)
-        return F.struct((start + width).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+def _located(text_col: str) -> Column:
+    """All non-overlapping occurrences of every finding's quote, left to right.
 
-    return F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"],
-    )
+    A quote is searched by splitting the text at it: the lengths of the pieces give
+    the positions.
+    """
+    quoted = r"concat(r'\Q', replace(f.verbatim_quote, r'\E', r'\E\\E\Q'), r'\E')"
+    pieces = f"split({sql_name(text_col)}, {quoted}, -1)"
+    span = ("struct(acc.pos + length(piece), f.finding_ord, length(f.verbatim_quote), "
+            f"coalesce(f.category, 'PII'), {tag_of('f')})")
+    step = (f"named_struct('pos', acc.pos + length(piece) + length(f.verbatim_quote), "
+            f"'out', concat(acc.out, array(cast({span} as {SPAN}))))")
+    return F.expr(
+        f"flatten(transform(findings, f -> aggregate(slice({pieces}, 1, size({pieces}) - 1), "
+        f"named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)), (acc, piece) -> {step}, acc -> acc.out)))")
 
 
 def _without_overlaps(spans: Column) -> Column:
@@ -94,7 +91,7 @@ def with_spans(df: DataFrame, text_col: str = "text", longest: bool = False) ->
     ``longest`` prefers the longest span among those with the same start.
     """
     kept = df.columns
-    located = F.flatten(F.transform("findings", lambda f: _occurrences(F.col(text_col), f)))
+    located = _located(text_col)
     if longest:
         ordered = F.array_sort(located, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                                .when(a["len"] != b["len"], b["len"] - a["len"])
