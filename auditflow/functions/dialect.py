@@ -19,9 +19,18 @@ _BOUNDARY = rf"(?:(?<![{_BEHIND}])(?=[{WORD}])|(?<=[{_BEHIND}])(?![{WORD}]))"
 
 _ONLY_WORD = re.compile(r"(?:[A-Za-z0-9](?:-[A-Za-z0-9])?|\\p\{Nd\})+")
 
+# The letters outside ASCII that equal an ASCII letter when case is ignored.
+CASE_VARIANTS = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
+
 STRIP_REGEX = rf"^[{SPACE}]+|[{SPACE}]+\z"
 
 
+def _either_case(lead: str) -> str:
+    """``lead`` for both cases, written out: a plain class is tested faster than a folded one."""
+    folded = lead + lead.upper() + "".join(v for c, v in CASE_VARIANTS.items() if c in lead)
+    return folded + "".join(CASE_VARIANTS.values()) if "a-z" in lead else folded
+
+
 def java_regex(pattern: str, lead: str | None = None) -> str:
     """``pattern`` with Unicode ``\\b \\s \\d`` and case folding made explicit.
 
@@ -29,13 +38,14 @@ def java_regex(pattern: str, lead: str | None = None) -> str:
     is looked at before the word boundary.
     """
     out, in_class, i = [], False, 0
-    if pattern.startswith("(?i)"):
-        out, pattern = ["(?iu)"], pattern[4:]
+    fold = pattern.startswith("(?i)")
+    pattern = pattern[4:] if fold else pattern
     if lead is not None:
-        out.append(f"(?=[{lead}])")
-        if pattern.startswith(r"\b") and _ONLY_WORD.fullmatch(lead):
-            out.append(rf"(?<![{_BEHIND}])")
-            i = 2
+        out.append(f"(?=[{_either_case(lead) if fold else lead}])")
+    out.append("(?iu)" if fold else "")
+    if lead is not None and pattern.startswith(r"\b") and _ONLY_WORD.fullmatch(lead):
+        out.append(rf"(?<![{_BEHIND}])")
+        i = 2
     while i < len(pattern):
         pair, ch = pattern[i : i + 2], pattern[i]
         if ch == "\\":

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.text import computed_once
+from auditflow.functions.folds import CHUNK, bind, chunks
+from auditflow.functions.text import computed_once, sql_name
 
 MASK_MODES = ("synthetic", "redacted")
 TOKEN = "struct<start:int,finding_ord:int,len:int,category:string,tag:string,token:string,original:string>"
@@ -52,37 +53,33 @@ def tag_of(f: str) -> str:
             f"{chain} ELSE coalesce({f}.category, 'PII') END")
 
 
-def _end(span: Column) -> Column:
-    return span["start"] + span["len"]
-
-
-def _tokens(text: Column, spans: Column, mask_mode: str) -> Column:
-    """Spans with token and original value; numbering is per tag, in text order."""
-
-    def token(s: Column, name: Column) -> Column:
-        return F.struct(
-            *[s[c].alias(c) for c in ("start", "finding_ord", "len", "category", "tag")],
-            name.alias("token"), F.substring(text, s["start"] + 1, s["len"]).alias("original"),
-        ).cast(TOKEN)
+def _tokens(mask_mode: str) -> Column:
+    """``spans`` with their tokens; numbering is per tag, in text order."""
+    def token(name: str) -> str:
+        return f"cast(struct(s.start, s.finding_ord, s.len, s.category, s.tag, {name}, s.original) as {TOKEN})"
 
     if mask_mode == "redacted":
-        return F.transform(spans, lambda s: token(s, F.concat(F.lit("["), s["category"], F.lit("]"))))
-    per_tag = F.transform(F.array_distinct(spans["tag"]), lambda t: F.transform(
-        F.filter(spans, lambda s: s["tag"] == t),
-        lambda s, i: token(s, F.concat(F.lit("["), t, F.lit("_"), (i + 1).cast("string"), F.lit("]"))),
-    ))
-    return F.array_sort(F.flatten(per_tag))
+        return F.expr(f"""transform(spans, s -> {token("concat('[', s.category, ']')")})""")
+    numbered = token("concat('[', t, '_', i + 1, ']')")
+    return F.expr("array_sort(flatten(transform(array_distinct(spans.tag), t -> "
+                  f"transform(filter(spans, s -> s.tag = t), (s, i) -> {numbered}))))")
+
 
+def _spliced(text_col: str) -> Column:
+    """The text with each span replaced by its token.
 
-def _spliced(text: Column, tokens: Column) -> Column:
-    """``text`` with each span replaced by its token."""
-    pieces = F.transform(tokens, lambda s, i: F.concat(
-        F.substring(text, F.coalesce(_end(F.get(tokens, i - 1)), F.lit(0)) + 1,
-                    s["start"] - F.coalesce(_end(F.get(tokens, i - 1)), F.lit(0))),
-        s["token"],
-    ))
-    tail = F.substring(text, _end(F.element_at(tokens, -1)) + 1, F.length(text))
-    return F.when(F.size(tokens) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    Reaching a position in a string costs its distance from the start, so the text
+    is cut once per chunk of spans and the spans are replaced within that part.
+    """
+    text = sql_name(text_col)
+    # `from`: where the part begins, the end of the span before the chunk.
+    parts = f"transform({chunks('spans')}, (g, n) -> struct(g, coalesce(get(spans, n * {CHUNK} - 1).start + get(spans, n * {CHUNK} - 1).len, 0) as from))"
+    before = "coalesce(get(k.g, i - 1).start + get(k.g, i - 1).len, k.from)"
+    replaced = (f"array_join(transform(k.g, (s, i) -> concat(substring(part, {before} - k.from + 1, s.start - {before}), s.token)), '')")
+    cut = f"substring({text}, k.from + 1, element_at(k.g, -1).start - k.from)"
+    spliced = f"array_join(transform({parts}, k -> {bind(cut, 'part', replaced)}), '')"
+    tail = f"substring({text}, element_at(spans, -1).start + element_at(spans, -1).len + 1, length({text}))"
+    return F.expr(f"CASE WHEN size(spans) = 0 THEN {text} ELSE concat({spliced}, {tail}) END")
 
 
 def with_sanitized(df: DataFrame, text_col: str = "text", mask_mode: str = "synthetic") -> DataFrame:
@@ -90,10 +87,9 @@ def with_sanitized(df: DataFrame, text_col: str = "text", mask_mode: str = "synt
     if mask_mode not in MASK_MODES:
         raise ValueError(f"mask_mode must be one of {MASK_MODES}")
     kept = [c for c in df.columns if c != "spans"]
-    text = F.col(text_col)
-    tokens = df.select(*kept, _tokens(text, F.col("spans"), mask_mode).alias("spans"))
+    tokens = df.select(*kept, _tokens(mask_mode).alias("spans"))
     return tokens.select(*kept, computed_once(
-        F.struct("spans", _spliced(text, F.col("spans")).alias("sanitized_text"))).alias("_s")
+        F.struct("spans", _spliced(text_col).alias("sanitized_text"))).alias("_s")
     ).select(*kept, "_s.spans", "_s.sanitized_text")
 
 

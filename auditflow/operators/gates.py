@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.dialect import SPACE
+from auditflow.functions.dialect import CASE_VARIANTS, SPACE
 from auditflow.functions.text import sql_name, sql_strings, sql_text
 
 PREFIX = 4  # letters kept of each word; gate words are cut to the same length
@@ -40,7 +40,7 @@ PROBES = {
     "digit_group": rf"\p{{Nd}}{{3}}[{SPACE}-]?\p{{Nd}}{{4}}",
     "six_digits": rf"[1-9]\p{{Nd}}[{SPACE}]?\p{{Nd}}{{4}}[1-9]",
     "code": r"[A-Z]{2}[ -]?[0-9]",
-    "unit": rf"[0-9][{SPACE}]*[kKmMlLcCrRbBdDiIuUeEKİı]",
+    "unit": rf"[0-9][{SPACE}]*[kKmMlLcCrRbBdDiIuUeE\u212a\u0130\u0131]",
     "currency": rf"[₹$€£][{SPACE}]*[0-9]",
     "comma_id": rf",[{SPACE}]*(?:[+0-9]|a?adhar|pa|pw|phone|mobile|email)",
     "mail": r"@[A-Za-z0-9.-]+\.[A-Z|a-z]{2}",
@@ -136,9 +136,17 @@ def folded(text: str) -> str:
 
 
 def word_beginnings(text: str, words: tuple[str, ...]) -> str:
-    """Which of ``words`` occur as the first PREFIX letters of a word of ``text``."""
+    """Which of ``words`` occur as the first PREFIX letters of a word of ``text``.
+
+    The result is one short string, each word between blanks, which the gates search.
+    """
     regex = sql_text(rf"([a-z]{{1,{PREFIX}}})[a-z]*+")
-    return f"array_intersect(regexp_extract_all({folded(text)}, {regex}, 1), {sql_strings(words)})"
+    present = f"array_intersect(regexp_extract_all({folded(text)}, {regex}, 1), {sql_strings(words)})"
+    return f"concat(' ', array_join({present}, ' '), ' ')"
+
+
+def has_word(words: tuple[str, ...] | list[str]) -> str:
+    return f"_words RLIKE ' (?:{'|'.join(words)}) '"
 
 
 def with_gates(df: DataFrame, text_col: str, gates: list[Gate | None]) -> DataFrame:
@@ -161,10 +169,10 @@ def _probe(probe: str, text: str, gates: list[Gate]) -> str:
     if probe in _NEEDS_CHARACTER:
         return f"contains({text}, '{_NEEDS_CHARACTER[probe]}') AND {hit}"
     if probe in _NEEDS_WORD:
-        return f"array_contains(_words, '{_NEEDS_WORD[probe]}') AND {hit}"
+        return f"contains(_words, ' {_NEEDS_WORD[probe]} ') AND {hit}"
     if all(probe != g.probe for g in gates):  # only ever asked for together with a word
         words = sorted({w for g in gates if g.also == probe for w in g.words})
-        return f"arrays_overlap(_words, {sql_strings(words)}) AND {hit}"
+        return f"{has_word(words)} AND {hit}"
     return hit
 
 
@@ -174,6 +182,6 @@ def is_open(gate: Gate | None) -> str:
         return "true"
     hits = [f"_p_{gate.probe}"] if gate.probe else []
     if gate.words:
-        hits.append(f"arrays_overlap(_words, {sql_strings(gate.words)})")
+        hits.append(has_word(gate.words))
     opened = f"({' OR '.join(hits)})"
     return f"{opened} AND _p_{gate.also}" if gate.also else opened

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditflow.functions.folds import bind, fold
 from auditflow.functions.text import computed_once, sql_name, strip
 from auditflow.operators.anonymize import tag_of
 from auditflow.operators.detect import FINDING
 
-SPAN = "struct<start:int,finding_ord:int,len:int,category:string,tag:string>"
+SPAN = "struct<start:int,finding_ord:int,len:int,category:string,tag:string,original:string>"
 
 
 def semantic_arrays(semantic: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,30 +60,22 @@ def _located(text_col: str) -> Column:
     """
     quoted = r"concat(r'\Q', replace(f.verbatim_quote, r'\E', r'\E\\E\Q'), r'\E')"
     pieces = f"split({sql_name(text_col)}, {quoted}, -1)"
-    span = ("struct(acc.pos + length(piece), f.finding_ord, length(f.verbatim_quote), "
-            f"coalesce(f.category, 'PII'), {tag_of('f')})")
-    step = (f"named_struct('pos', acc.pos + length(piece) + length(f.verbatim_quote), "
-            f"'out', concat(acc.out, array(cast({span} as {SPAN}))))")
-    return F.expr(
-        f"flatten(transform(findings, f -> aggregate(slice({pieces}, 1, size({pieces}) - 1), "
-        f"named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)), (acc, piece) -> {step}, acc -> acc.out)))")
+    span = ("struct(a.pos + length(x), f.finding_ord, length(f.verbatim_quote), "
+            f"coalesce(f.category, 'PII'), {tag_of('f')}, f.verbatim_quote)")
+    step = (f"named_struct('pos', a.pos + length(x) + length(f.verbatim_quote), "
+            f"'out', concat(a.out, array(cast({span} as {SPAN}))))")
+    occurrences = bind(pieces, "p", bind("slice(p, 1, size(p) - 1)", "q", fold("q", SPAN, step)))
+    return F.expr(f"flatten(transform(findings, f -> {occurrences}))")
 
 
-def _without_overlaps(spans: Column) -> Column:
+def _without_overlaps(spans: str) -> Column:
     """Keep a span if it starts at or after the end of the last kept one.
 
     ``spans`` is sorted by (start, finding order), so equal starts favour the
     earlier finding, not the longer one.
     """
-    empty = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.when(s["start"] >= acc["end"], F.struct(
-            (s["start"] + s["len"]).alias("end"), F.concat(acc["kept"], F.array(s)).alias("kept"),
-        )).otherwise(acc)
-
-    return F.aggregate(spans, F.struct(F.lit(0).alias("end"), empty.alias("kept")), step,
-                       lambda acc: acc["kept"])
+    return F.expr(fold(spans, SPAN, "CASE WHEN x.start >= a.pos THEN named_struct("
+                       "'pos', x.start + x.len, 'out', concat(a.out, array(x))) ELSE a END"))
 
 
 def with_spans(df: DataFrame, text_col: str = "text", longest: bool = False) -> DataFrame:
@@ -99,4 +92,4 @@ def with_spans(df: DataFrame, text_col: str = "text", longest: bool = False) ->
     else:
         ordered = F.array_sort(located)
     staged = df.select(*kept, ordered.alias("_located"))
-    return staged.select(*kept, computed_once(_without_overlaps(F.col("_located"))).alias("spans"))
+    return staged.select(*kept, computed_once(_without_overlaps("_located")).alias("spans"))
