@@ -25,6 +25,26 @@ CASE_VARIANTS = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
 STRIP_REGEX = rf"^[{SPACE}]+|[{SPACE}]+\z"
 
 
+# Java repeats a group of varying length by recursion: a long list of numbers after a
+# currency sign would overflow the stack and take the executor down.  A group that
+# ends an amount covers a whole run of digits, so the groups are fixed from the start
+# and can be taken possessively; only the last one may have to be given back, where
+# the amount then ends at its comma.
+_GROUPS = r"(?:,[0-9]{2,3})*"
+_GROUP = r",[0-9]{2,3}(?![0-9])"
+
+
+def _without_recursion(pattern: str) -> str:
+    if _GROUPS not in pattern:
+        return pattern
+    head, tail = pattern.split(_GROUPS)
+    end = r")\b"
+    if not tail.endswith(end):
+        raise ValueError(f"cannot bound the repetition in {pattern!r}")
+    tail = tail.removesuffix(end)
+    return rf"{head}(?:(?:{_GROUP})*+{tail}\b|(?:,[0-9]{{2,3}}(?={_GROUP}))*+\b))"
+
+
 def _either_case(lead: str) -> str:
     """``lead`` for both cases, written out: a plain class is tested faster than a folded one."""
     folded = lead + lead.upper() + "".join(v for c, v in CASE_VARIANTS.items() if c in lead)
@@ -39,7 +59,7 @@ def java_regex(pattern: str, lead: str | None = None) -> str:
     """
     out, in_class, i = [], False, 0
     fold = pattern.startswith("(?i)")
-    pattern = pattern[4:] if fold else pattern
+    pattern = _without_recursion(pattern[4:] if fold else pattern)
     if lead is not None:
         out.append(f"(?=[{_either_case(lead) if fold else lead}])")
     out.append("(?iu)" if fold else "")

@@ -79,3 +79,17 @@ def test_custom_rules(spark):
 def test_null_and_empty_text(spark):
     rows = with_findings(texts(spark, [None, ""])).select(F.size("findings").alias("n")).collect()
     assert all((r.n or 0) <= 0 for r in rows)
+
+
+def test_amounts_with_many_groups(spark):
+    cases = ["$1,234", "x$1,234", "rs 1,234", "rs 1,23,456.75 net", "rs 1,234,5678", "rs 1,2", "rs 1,234a", "rs 1,234,56a",
+             "rs 12,34.5 lakh", "rs 12,34 lakhx", "rs 1,234.567", "inr 1,234k", "inr 1,234kg", "usd 1,234,", "gbp 1,234,567 million",
+             "rs 1234567", "eur 1,23_", "rs 1,234,56_,78", "rs 1" + ",123" * 60 + "x", "rs 1,22,", "rs 1,22,3", "rs 1,22 ,333"]
+    compare_with_brute(texts(spark, cases))
+
+
+def test_long_lists_do_not_overflow(spark):
+    long_list = "x$1" + ",123" * 30000
+    df = texts(spark, [long_list, long_list + "a", "rs 1" + ",12" * 30000 + "b", "name: " + "a " * 30000, "x@" + "a." * 20000])
+    rows = with_findings(df).select(F.expr("transform(findings, f -> length(f.verbatim_quote))").alias("n")).collect()
+    assert len(long_list) - 1 in rows[0].n and rows[1].n == [len(long_list) - 5]
