@@ -51,6 +51,21 @@ def _either_case(lead: str) -> str:
     return folded + "".join(CASE_VARIANTS.values()) if "a-z" in lead else folded
 
 
+def skipping_runs(pattern: str, group: int) -> tuple[str, int]:
+    """``pattern`` and its group, made linear for patterns that begin with a run up to ``@``.
+
+    A long run without an ``@`` behind it would be scanned again from each word
+    boundary in it.  Where the run fails from one start it fails from all, so a
+    second alternative takes the whole run, with an empty group 1 (too short to
+    be a value).
+    """
+    m = re.match(r"\\b(\[[^\]]+\])\+(@.*)", pattern)
+    if m is None or group != 0:
+        return pattern, group
+    run, rest = m.groups()
+    return rf"\b(?:({run}++{rest})|{run}++)", 1
+
+
 def java_regex(pattern: str, lead: str | None = None) -> str:
     """``pattern`` with Unicode ``\\b \\s \\d`` and case folding made explicit.
 

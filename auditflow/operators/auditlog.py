@@ -72,19 +72,15 @@ def assign_log_ids(log: DataFrame, order: list[str]) -> DataFrame:
 
     The rows are range-partitioned and sorted once and checkpointed, so that the
     partition offsets and the numbering see the same partitions, also after an
-    executor is lost.  Only one count per partition reaches the driver.
+    executor is lost.  The offsets are one row per partition, whatever the log's size.
     """
-    row = F.monotonically_increasing_id()
-    placed = cut(log.drop("id").orderBy(*order).withColumn("_row", row))
-    part, offset = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("p")).count().orderBy("p").collect()
-    starts, total = {}, 0
-    for c in counts:
-        starts[c["p"]], total = total, total + c["count"]
-    if not starts:
-        return placed.withColumn("id", F.lit(0).cast("bigint")).drop("_row")
-    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
-    return placed.withColumn("id", (F.element_at(base, part.cast("int")) + offset + 1).cast("bigint")).drop("_row")
+    placed = cut(log.drop("id").orderBy(*order).withColumn("_row", F.monotonically_increasing_id())).withColumns({
+        "_part": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").count().select(
+        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(
+        "id", F.col("_start") + F.col("_at") + 1).drop("_row", "_part", "_at", "_start")
 
 
 def retain_last(log: DataFrame, n: int = RETAINED, order: tuple[str, ...] = ("id",),

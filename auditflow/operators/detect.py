@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.dialect import STRIP_REGEX, java_regex
+from auditflow.functions.dialect import STRIP_REGEX, java_regex, skipping_runs
 from auditflow.functions.text import computed_once, sql_name, sql_strings, sql_text
 from auditflow.operators.gates import GATES, is_open, with_gates
 from auditflow.rules import RULES, Pattern, Rule, patterns
@@ -33,8 +33,9 @@ def _gates(rules: tuple[Rule, ...]):
 
 def _matches(text: str, pattern: Pattern, gate) -> str:
     """SQL for all values of one pattern; empty where its gate is shut."""
-    regex = sql_text(java_regex(pattern.regex, gate.lead if gate else None))
-    found = f"regexp_extract_all({text}, {regex}, {pattern.group})"
+    linear, group = skipping_runs(pattern.regex, pattern.group)
+    regex = sql_text(java_regex(linear, gate.lead if gate else None))
+    found = f"regexp_extract_all({text}, {regex}, {group})"
     return found if gate is None else f"CASE WHEN {is_open(gate)} THEN {found} ELSE {sql_strings(())} END"
 
 

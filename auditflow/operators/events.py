@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditflow.functions.lineage import cut
 from auditflow.functions.text import strip
-from auditflow.operators.sequences import SLICE, running
+from auditflow.operators.sequences import SLICE, running, slice_of
 
 # Shortest stripped text that is looked at; a paste is counted in
 # UTF-16 units, as a browser counts.
@@ -40,7 +40,7 @@ def pause_states(control: DataFrame, keys: list[str]) -> DataFrame:
     """``control`` (keys, ts, paused) with the state after each row; a null ``paused`` flips it."""
     flip = F.col("paused").isNull()
     resolved = running(
-        control.withColumn(SLICE, F.date_trunc("day", "ts")), keys, ["ts"],
+        control.withColumn(SLICE, slice_of("ts")), keys, ["ts"],
         last={"_set": F.col("paused")}, since={"_flips": (flip.cast("int"), ~flip)})
     odd = F.pmod("_flips", F.lit(2)) == 1
     return resolved.withColumn("is_paused", F.coalesce("_set", F.lit(False)) != odd).drop("_flips", "_set", SLICE)
@@ -51,7 +51,7 @@ def with_pause_state(events: DataFrame, control: DataFrame, keys: list[str]) ->
     states = pause_states(control, keys).select(*keys, "ts", F.col("is_paused").alias("_state"),
                                                 F.lit(0).alias("_kind"))
     both = events.withColumn("_kind", F.lit(1)).unionByName(states, allowMissingColumns=True)
-    sliced = both.withColumn(SLICE, F.date_trunc("day", "ts"))
+    sliced = both.withColumn(SLICE, slice_of("ts"))
     known = running(sliced, keys, ["ts", "_kind"], last={"_known": F.col("_state")})
     return known.where(F.col("_kind") == 1).withColumn(
         "is_paused", F.coalesce("_known", F.lit(False))).drop("_kind", "_state", "_known", SLICE)
@@ -80,7 +80,7 @@ def guard_decisions(audited: DataFrame, keys: list[str], order: list[str], text_
     changed = has_findings & (F.col("sanitized_text") != F.col(text_col))
     seen = audited.select(
         *keys, *[c for c in order if c not in keys], *[c for c in keep if c not in (*keys, *order)],
-        F.date_trunc("day", "ts").alias(SLICE),
+        slice_of("ts"),
         F.when(changed, "dirty").when(has_findings, "unchanged").otherwise("clean").alias("_kind"),
         F.sha2(text_col, 256).alias("_in"), F.sha2("sanitized_text", 256).alias("_out"),
     )

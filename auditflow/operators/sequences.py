@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SLICE = "_slice"
 
 
+def slice_of(ts: Column | str) -> Column:
+    """The default slice of an event: its hour."""
+    return F.date_trunc("hour", ts).alias(SLICE)
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
             last: dict[str, Column] | None = None, before: dict[str, Column] | None = None,
             since: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:

@@ -93,3 +93,12 @@ def test_long_lists_do_not_overflow(spark):
     df = texts(spark, [long_list, long_list + "a", "rs 1" + ",12" * 30000 + "b", "name: " + "a " * 30000, "x@" + "a." * 20000])
     rows = with_findings(df).select(F.expr("transform(findings, f -> length(f.verbatim_quote))").alias("n")).collect()
     assert len(long_list) - 1 in rows[0].n and rows[1].n == [len(long_list) - 5]
+
+
+def test_long_runs_before_an_at_sign(spark):
+    encoded = "%E0%A4%B9" * 40000
+    cases = [encoded + " x.y@mail.example.org", encoded + "@mail.example.org", "a-" * 300 + "@mail.example.org, b.c@d.ef"]
+    rows = findings(texts(spark, cases), rules=(rule("Email Address"),)).orderBy("doc_id", "finding_ord").collect()
+    assert [(r.doc_id, len(r.quote)) for r in rows] == [
+        (0, 20), (1, len(encoded) + 16), (2, 617), (2, 8)]
+    compare_with_brute(texts(spark, cases[2:] + ["é.a@b.cd .x@y.zz a@b@c.de a@b.c@d.ef x@y.z1 q@w.er|ty a@b.cdé"]))
