@@ -132,18 +132,19 @@ def activity_bins(log: DataFrame, order: tuple[str, ...] = ("id",)) -> DataFrame
     """Threats of the last 20 entries over 7 bins; all zero if the log holds no threat.
 
     An entry's bin is its position in the log modulo 7.  Positions of the last rows
-    follow from the row count, so the log itself is not numbered.
+    follow from the row count, so the log itself is not numbered: the last rows and
+    the totals meet in one row.
     """
-    spark = log.sparkSession
-    newest = log.orderBy(*[F.col(c).desc() for c in order]).limit(ACTIVITY_ROWS).select(
-        *order, F.coalesce("threats_count", F.lit(1)).alias("_n"))
-    ranked = newest.withColumn("_back", F.row_number().over(
-        Window.orderBy(*[F.col(c).desc() for c in order])))  # at most 20 rows
-    summed = ranked.crossJoin(log_totals(log)).groupBy(
-        F.pmod(F.col("total_events") - F.col("_back"), F.lit(ACTIVITY_BINS)).cast("int").alias("bin")
-    ).agg(F.sum(F.when(F.col("total_threats_blocked") > 0, F.col("_n")).otherwise(0)).alias("_sum"))
-    bins = spark.range(ACTIVITY_BINS).select(F.col("id").cast("int").alias("bin"))
-    return bins.join(summed, "bin", "left").select("bin", F.coalesce("_sum", F.lit(0)).cast("bigint").alias("threats"))
+    last = log.orderBy(*[F.col(c).desc() for c in order]).limit(ACTIVITY_ROWS).select(
+        F.struct(*order, F.coalesce("threats_count", F.lit(1)).alias("n")).alias("e"))
+    together = last.unionByName(log_totals(log), allowMissingColumns=True).agg(
+        F.sort_array(F.collect_list("e"), asc=False).alias("es"),
+        F.max("total_events").alias("total"), F.max("total_threats_blocked").alias("threats"))
+    in_bin = f"filter(es, (e, i) -> pmod(total - 1 - i, {ACTIVITY_BINS}) = b)"
+    threats = f"aggregate({in_bin}, 0L, (s, e) -> s + e.n)"
+    return together.select(F.expr(
+        f"inline(transform(sequence(0, {ACTIVITY_BINS - 1}), b -> struct(b as bin, "
+        f"CASE WHEN threats > 0 THEN {threats} ELSE 0L END as threats)))"))
 
 
 def audit_summary(log: DataFrame, financial_first: bool = False) -> DataFrame:
