@@ -53,8 +53,11 @@ def tag_of(f: str) -> str:
             f"{chain} ELSE coalesce({f}.category, 'PII') END")
 
 
-def _tokens(mask_mode: str) -> Column:
+def _tokens(mask_mode: str, mode_col: str | None = None) -> Column:
     """``spans`` with their tokens; numbering is per tag, in text order."""
+    if mode_col is not None:
+        return F.when(F.col(mode_col) == "redacted", _tokens("redacted")).otherwise(_tokens("synthetic"))
+
     def token(name: str) -> str:
         return f"cast(struct(s.start, s.finding_ord, s.len, s.category, s.tag, {name}, s.original) as {TOKEN})"
 
@@ -82,12 +85,16 @@ def _spliced(text_col: str) -> Column:
     return F.expr(f"CASE WHEN size(spans) = 0 THEN {text} ELSE concat({spliced}, {tail}) END")
 
 
-def with_sanitized(df: DataFrame, text_col: str = "text", mask_mode: str = "synthetic") -> DataFrame:
-    """Replace ``spans`` by spans with tokens and add ``sanitized_text``."""
+def with_sanitized(df: DataFrame, text_col: str = "text", mask_mode: str = "synthetic",
+                   mode_col: str | None = None) -> DataFrame:
+    """Replace ``spans`` by spans with tokens and add ``sanitized_text``.
+
+    With ``mode_col`` the mode is that of each row.
+    """
     if mask_mode not in MASK_MODES:
         raise ValueError(f"mask_mode must be one of {MASK_MODES}")
     kept = [c for c in df.columns if c != "spans"]
-    tokens = df.select(*kept, _tokens(mask_mode).alias("spans"))
+    tokens = df.select(*kept, _tokens(mask_mode, mode_col).alias("spans"))
     return tokens.select(*kept, computed_once(
         F.struct("spans", _spliced(text_col).alias("sanitized_text"))).alias("_s")
     ).select(*kept, "_s.spans", "_s.sanitized_text")

@@ -43,16 +43,17 @@ def scores(docs: DataFrame, semantic: DataFrame | None = None, key: str = "doc_i
 
 def audit(docs: DataFrame, semantic: DataFrame | None = None, mask_mode: str = "synthetic",
           key: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
-          longest: bool = False) -> DataFrame:
+          longest: bool = False, mode_col: str | None = None) -> DataFrame:
     """The whole audit of a table of texts; the columns of ``docs`` are kept.
 
     Adds ``findings``, ``spans`` (with token and original), ``sanitized_text``,
     ``mask_mode`` and the scores.  Without external findings this is one narrow
-    stage: no row leaves the task that read it.
+    stage: no row leaves the task that read it.  With ``mode_col`` each row names its
+    own mode; any value but ``redacted`` means synthetic.
     """
     found = with_merged(with_findings(docs, text_col, rules), semantic, key, text_col)
-    rewritten = with_sanitized(with_spans(found, text_col, longest), text_col, mask_mode)
-    return with_scores(rewritten).withColumn("mask_mode", F.lit(mask_mode))
+    rewritten = with_sanitized(with_spans(found, text_col, longest), text_col, mask_mode, mode_col)
+    return with_scores(rewritten).withColumn("mask_mode", F.col(mode_col) if mode_col else F.lit(mask_mode))
 
 
 def report(audited: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ from auditflow.operators import semantic as sem
 from auditflow.operators.anonymize import vault
 from auditflow.operators.detect import findings, with_findings
 from auditflow.operators.merge import with_merged
+from auditflow.operators.requests import audit_requests as audit_all_requests
 from auditflow.operators.score import audit, report, scores
 from auditflow.plans import inputs as I
 from auditflow.plans import oracle as O
@@ -605,12 +606,15 @@ def scenario_listing(spark, sf_dir):
     return sem.scenario_listing(_scenarios(spark, sf_dir))
 
 
-@query("choose_semantic_source", O.statement(_REQUESTS, _RESPONSES, f"""chosen AS (SELECT request_id, r.scenario_id, r.has_key,
-    s.item_id, a.error AS failed, a.compliance_summary AS answer, a.n_findings,
+_CHOSEN = f"""chosen AS (SELECT request_id, r.scenario_id, r.has_key,
+    r.text, r.mask_mode, r.model_id, s.item_id, s.text AS stored, a.error AS failed, a.compliance_summary AS answer, a.n_findings, a.quote,
     CASE WHEN (use_cached_benchmark OR NOT has_key) AND s.item_id IS NOT NULL THEN 'cached' WHEN NOT has_key THEN 'none'
       WHEN a.error IS NULL THEN 'model' WHEN s.item_id IS NOT NULL THEN 'cached' ELSE 'failed' END AS origin
   FROM requests r LEFT JOIN benchmark s ON CAST(s.item_id AS VARCHAR) = r.scenario_id LEFT JOIN responses a ON a.doc_id = r.request_id
-  WHERE r.error IS NULL)""", select=f"""SELECT request_id, origin, origin = 'cached' AS is_benchmark,
+  WHERE r.error IS NULL)"""
+
+
+@query("choose_semantic_source", O.statement(_REQUESTS, _RESPONSES, _CHOSEN, select=f"""SELECT request_id, origin, origin = 'cached' AS is_benchmark,
   CAST(CASE origin WHEN 'cached' THEN 1 WHEN 'model' THEN n_findings ELSE 0 END AS INTEGER) AS n_findings,
   CASE origin WHEN 'cached' THEN 'stored ' || item_id WHEN 'model' THEN coalesce(answer, '')
     WHEN 'failed' THEN 'Gemma 4 service notice: ' || substring(failed, 1, {sem.NOTICE_LENGTH}) || '. High-confidence pattern firewall active.'
@@ -623,6 +627,26 @@ def choose_semantic_source(spark, sf_dir):
     return chosen.select("request_id", "origin", "is_benchmark", F.size("findings").alias("n_findings"), "compliance_summary")
 
 
+_CHOSEN_ROWS = f"(WITH {_REQUESTS},\n{_RESPONSES},\n{_CHOSEN} SELECT * FROM chosen)"
+_CHOSEN_FINDINGS = f"""SELECT request_id AS doc_id, 1 AS ord, CASE origin WHEN 'model' THEN 'SECRET' ELSE left(stored, 5) END AS category,
+  CASE origin WHEN 'model' THEN 'HIGH' ELSE left(stored, 5) END AS severity, CASE origin WHEN 'model' THEN quote ELSE left(stored, 5) END AS verbatim,
+  CASE origin WHEN 'model' THEN '' ELSE left(stored, 5) END AS entity, CASE origin WHEN 'model' THEN '' ELSE left(stored, 5) END AS suggested
+  FROM {_CHOSEN_ROWS} WHERE origin = 'cached' OR (origin = 'model' AND n_findings > 0)"""
+
+
+@query("audit_requests", O.audited(
+    f"SELECT request_id AS doc_id, text FROM {_CHOSEN_ROWS}", f"""SELECT w.doc_id AS request_id, c.origin, w.sanitized AS sanitized_text, c.mask_mode,
+  s.n_findings, s.risk_score, c.model_id AS model_used, coalesce(m.name, '{sem.UNKNOWN_MODEL_NAME}') AS model_name
+  FROM rewritten w JOIN scored s USING (doc_id) JOIN {_CHOSEN_ROWS} c ON c.request_id = w.doc_id
+  LEFT JOIN (VALUES {_MODELS}) m(model_id, name) ON m.model_id = c.model_id""", semantic=_CHOSEN_FINDINGS))
+def audit_requests(spark, sf_dir):
+    accepted, _ = tables.split_requests(_requests(spark, sf_dir))
+    parsed = _parsed(spark, sf_dir).withColumnRenamed("doc_id", "request_id")
+    audited = audit_all_requests(accepted, _scenarios(spark, sf_dir), parsed)
+    return audited.select("request_id", "origin", "sanitized_text", "mask_mode", "n_findings", "risk_score",
+                          "model_used", "model_name")
+
+
 # --- Copy and paste events --------------------------------------------------------------
 
 @query("min_length_gate", """SELECT conv_id, turn FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN left(text, 5) ELSE left(text, conv_id % 8) END AS t,

@@ -4,6 +4,7 @@ from conftest import ROOT, fixture_rows, texts
 from pyspark.sql import functions as F
 
 from auditflow.operators import semantic as sem
+from auditflow.operators.requests import audit_requests
 from auditflow.operators.score import audit
 from auditflow.sources import tables
 
@@ -82,3 +83,23 @@ def test_requests(spark):
     assert (rows[5].mask_mode, rows[5].temperature) == ("redacted", 0.7)
     good, bad = tables.split_requests(tables.normalise_requests(df))
     assert good.count() == 2 and bad.count() == 4
+
+
+def test_audit_requests(spark):
+    scenarios = sem.scenario_table(spark, SCENARIOS)
+    card, memo = scenarios.where("scenario_id in ('card_dispute', 'deal_memo')").orderBy("scenario_id").collect()
+    bodies = [
+        {"text": card.text, "scenario_id": "card_dispute", "use_cached_benchmark": True, "mask_mode": "redacted"},
+        {"text": f"  {memo.text} ", "scenario_id": "deal_memo", "mask_mode": "whatever"},
+        {"text": "call 9812345678", "api_key": "k", "model_id": "gemma-4-26b-a4b-it"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "request_id int, body string")
+    accepted, _ = tables.split_requests(tables.normalise_requests(df))
+    none = spark.createDataFrame([], "request_id int, model_id string, body string")
+    rows = audit_requests(accepted, scenarios, sem.parse_model_responses(none, "request_id")).orderBy("request_id").collect()
+    first, second, third = rows
+    assert "[PERSONAL_CONTACT]" in first.sanitized_text and "_1]" not in first.sanitized_text
+    assert first.risk_score > 80 and first.n_findings >= 6 and first.is_benchmark
+    assert "[DEAL_1]; the founder [CUSTOMER_1]" in second.sanitized_text and second.model_used == sem.DEFAULT_MODEL
+    assert third.sanitized_text == "call [PHONE_1]" and third.origin == "failed"
+    assert (third.model_used, third.model_name) == ("gemma-4-26b-a4b-it", "Gemma 4 26B/4B (MoE)")
