@@ -39,21 +39,23 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12, seed: i
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 150, weight: np.ndarray | None = None) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 300, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (bias last) of a logistic regression; ``y`` holds 1 and 0.  Accelerated full-batch descent."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.ones(len(x)) if weight is None else weight
-    weight = weight / weight.sum()
-    v = np.ones(x.shape[1])
+    weight = (weight / weight.sum()).astype(x.dtype)
+    v = np.ones(x.shape[1], x.dtype)
     for _ in range(12):  # the largest curvature, for the step
         v = x.T @ (weight * (x @ v))
         top = np.linalg.norm(v)
         v /= max(top, 1e-12)
     step = 1.0 / (0.25 * top + l2)
-    w = before = np.zeros(x.shape[1])
+    w = before = np.zeros(x.shape[1], x.dtype)
+    ridge = np.full(x.shape[1], l2, x.dtype)
+    ridge[-1] = 0
     for k in range(rounds):
-        at = w + k / (k + 3) * (w - before)
-        before, w = w, at - step * (x.T @ (weight * (sigmoid(x @ at) - y)) + l2 * np.append(at[:-1], 0.0))
+        at = w + x.dtype.type(k / (k + 3)) * (w - before)
+        before, w = w, at - x.dtype.type(step) * (x.T @ (weight * (sigmoid(x @ at) - y)) + ridge * at)
     return w
 
 

@@ -1,0 +1,22 @@
+"""Results that are read several times, written once to the cluster's checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` after a reliable checkpoint.
+
+    The folder is the session's ``spark.checkpoint.dir``.  Where none is set, a temporary one
+    serves a local session; on a cluster that is an error, as executors do not share it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auditflow-"))
+    return df.checkpoint()

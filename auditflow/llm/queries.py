@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditflow.llm import langid
+from auditflow.llm import langid, quality
 from auditflow.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(T.crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     model = langid.train(docs.where(~held_out & F.col("doc_id").isNotNull()))
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
