@@ -1,22 +1,29 @@
-"""Results that are read several times, written once to the cluster's checkpoint folder."""
+"""The folder that all executors share, and results written to it once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint.
+def shared(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where none is set, a temporary one
-    serves a local session; on a cluster that is an error, as executors do not share it.
+    Where none is set a temporary folder serves a local session; on a cluster that is an error,
+    as executors would not see it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auditflow-"))
+        folder = tempfile.mkdtemp(prefix="auditflow-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` after a reliable checkpoint, for results that are read several times."""
+    shared(df.sparkSession)
     return df.checkpoint()
