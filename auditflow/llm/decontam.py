@@ -193,10 +193,17 @@ def template_windows(texts: DataFrame, name: str, bits=None) -> DataFrame:
     return texts.select(name, "text").where(F.col(name).isNotNull()).mapInArrow(run, f"{name} {kind}, size long, place long, gram long, slots array<long>")
 
 
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """The windows of the items; the first one also as it reads inside a line, where a capital may make a name."""
+    inside = template_windows(benchmark.withColumn("text", F.concat(F.lit("x "), "text")), "item_id")
+    inside = inside.where("place = 1").select("item_id", F.col("size") - 1, F.lit(0).cast("long"), "gram", "slots")
+    return template_windows(benchmark, "item_id").union(inside).distinct()
+
+
 def bit_map(windows: DataFrame) -> np.ndarray:
     """A bit for each hash prefix that occurs: 2^(MAP_BITS-3) bytes, so at most that many rows come to the driver."""
     top = F.shiftrightunsigned("gram", 64 - MAP_BITS)
-    parts = windows.select(F.shiftright(top, 3).alias("byte"), F.shiftleft(F.lit(1), top.bitwiseAND(F.lit(7)).cast("int")).alias("bit"))
+    parts = windows.select(F.shiftright(top, 3).alias("byte"), F.call_function("shiftleft", F.lit(1), top.bitwiseAND(F.lit(7)).cast("int")).alias("bit"))
     found = parts.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
@@ -205,13 +212,13 @@ def bit_map(windows: DataFrame) -> np.ndarray:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, share of the item's windows found, changed (some slot value is another one)."""
-    items = template_windows(benchmark, "item_id")
+    items = item_windows(benchmark)
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(items))
-    here = template_windows(docs, "doc_id", bits).select("doc_id", F.col("place").alias("at"), "gram", F.col("slots").alias("here"))
-    hits = here.join(items, "gram")
+    here = template_windows(docs, "doc_id", bits).select("doc_id", F.col("place").alias("at"), "gram", F.col("slots").alias("ours"))
+    hits = here.join(items.withColumnRenamed("slots", "theirs"), "gram")
     # (document, item, diagonal, place) fixes a window, so a group holds an item's windows at most.
     lines = hits.groupBy("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.collect_set(F.arrays_zip(F.col("slots").alias("theirs"), F.col("here").alias("ours"))).alias("pairs"))
+        F.collect_set("place").alias("places"), F.collect_set(F.arrays_zip("theirs", "ours")).alias("pairs"))
     pairs = F.array_distinct(F.filter(F.flatten("pairs"), lambda p: p["theirs"] != 0))
     lines = lines.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.theirs"))))
     lines = lines.withColumn("changed", F.exists("pairs", lambda p: p["theirs"] != p["ours"])).drop("pairs")
