@@ -43,6 +43,8 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "dollar dollars euro euros cent cents pound pounds usd eur gbp percent % $ mph km/h kw kwh w v a hz mb gb tb".split()
 )
+#: Of these, the ones that mean nothing else and are units anywhere.
+FREE_UNITS = UNITS - frozenset("m g l s h v a w in ft min sec second seconds minute mg ml mb gb tb hz % $".split())
 #: Fixed signs that are no part of a word at its ends.
 OUTER = "\"'`.,;:!?()[]{}<>*_|#&$%~-"
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(%|[a-z°]{1,3})?")
@@ -61,7 +63,7 @@ def token(word: str, before: str | None) -> tuple[str, str]:
     low = core.lower()
     if _is_number(word):
         return _NUM, low
-    if before is not None and _is_number(before) and (low in UNITS or word in UNITS):
+    if low in FREE_UNITS or before is not None and _is_number(before) and (low in UNITS or word in UNITS):
         return _UNIT, low or word
     if not core:
         return "", ""
@@ -95,6 +97,9 @@ def _hash(value: str) -> int:
     return int(T.word_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
+_FREE = np.sort(np.array([_hash(u) for u in sorted(FREE_UNITS)], np.uint64))
+
+
 def _sums(mask: np.ndarray) -> np.ndarray:
     out = np.zeros(len(mask) + 1, np.int32)
     np.cumsum(mask, out=out[1:])
@@ -135,8 +140,13 @@ def template_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     head = np.minimum(left, len(data) - 1)
     upper = capital[head] | ((data[head] == 0xC3) & capital[np.minimum(head + 1, len(data) - 1)])
     name = some & upper & (small[right] > small[left]) & ~opened
-    slots[name] = codes[name] | np.uint64(1)
-    codes[name] = np.uint64(_hash(_NAME))
+    at = np.searchsorted(_FREE, codes)
+    at[at == len(_FREE)] = 0
+    unit = some & (_FREE[at] == codes)
+    name &= ~unit
+    for placeholder, those in ((_NAME, name), (_UNIT, unit)):
+        slots[those] = codes[those] | np.uint64(1)
+        codes[those] = np.uint64(_hash(placeholder))
     keep = some.copy()
     digit = _sums(_DIGIT[data])
     other = (data >= 0x80) & ~second

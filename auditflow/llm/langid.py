@@ -27,6 +27,8 @@ from auditflow.llm import learn, ngrams
 from auditflow.llm import text as T
 
 UND = "und"
+#: A filter rejects ``und`` and what scores below this: for so few letters any language is a guess.
+MIN_SCORE = 0.3
 DIMS = 4096
 _LETTER = re.compile(r"[^\W\d_]")
 _LATIN_WORD = np.zeros(256, bool)
@@ -157,14 +159,30 @@ def train(docs: DataFrame, per_language: int = 700, families: list[list[str]] |
     return fit(x, [r[0] for r in found], families)
 
 
+def languages(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a column."""
+    lang, sure = predict(model, features(column))
+    ok = lettered(column)
+    lang[~ok], sure[~ok] = UND, 0.0
+    return lang, sure
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
-            lang, sure = predict(model, features(batch.column("text")))
-            ok = lettered(batch.column("text"))
-            lang[~ok], sure[~ok] = UND, 0.0
+            lang, sure = languages(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: LanguageModel, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, "text"):
+            lang, sure = languages(model, batch.column("text"))
+            yield batch.filter(pa.array((lang != UND) & (sure >= min_score)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -121,25 +121,38 @@ def probability(model: QualityModel, x: np.ndarray) -> np.ndarray:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 
 
+def _judged(column: pa.Array, model: QualityModel | None, keep_from: float) -> list[pa.Array]:
+    """The columns of SCHEMA for a column of texts."""
+    data, offsets = T.utf8(column)
+    starts, ends, first = T.words(data, offsets)
+    hashes = T.word_hashes(data, starts, ends)
+    n = np.diff(first)
+    points = ((data & 0xC0) != 0x80) & ~T.BLANK[data]
+    repeats = repeat_words(hashes, first)
+    failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
+    lines = [dup_lines(t) for t in column.to_pylist()]
+    counts = [pa.array(n), pa.array(T.row_sums(points, offsets)), pa.array(T.row_sums(SYMBOLS[data], offsets)), pa.array(lines, pa.int64()), pa.array(repeats), pa.array(failed)]
+    if model is None:
+        return [*counts, pa.nulls(len(n), pa.float64()), pa.array(~failed)]
+    sure = probability(model, features(data, offsets, hashes, first))
+    return [*counts, pa.array(sure), pa.array(~failed & (sure >= keep_from))]
+
+
 def judge(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, the counts, base_failed, the calibrated score (null without a model) and kept, for every whole text."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
-            data, offsets = T.utf8(batch.column("text"))
-            starts, ends, first = T.words(data, offsets)
-            hashes = T.word_hashes(data, starts, ends)
-            n = np.diff(first)
-            points = ((data & 0xC0) != 0x80) & ~T.BLANK[data]
-            repeats = repeat_words(hashes, first)
-            failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-            sure = probability(model, features(data, offsets, hashes, first)) if model else None
-            kept = ~failed & (sure >= keep_from) if model else ~failed
-            lines = [dup_lines(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(T.row_sums(points, offsets)), pa.array(T.row_sums(SYMBOLS[data], offsets)), pa.array(lines, pa.int64()),
-                 pa.array(repeats), pa.array(failed), pa.array(sure) if model else pa.nulls(len(n), pa.float64()), pa.array(kept)],
-                ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))],
-            )
+            found = _judged(batch.column("text"), model, keep_from)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, {SCHEMA}")
+
+
+def good(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, "text"):
+            yield batch.filter(_judged(batch.column("text"), model, keep_from)[-1])
+
+    return docs.mapInArrow(keep, docs.schema)
