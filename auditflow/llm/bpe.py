@@ -22,6 +22,7 @@ table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ from auditflow.llm import vocab
 CHUNK = 512
 _REACH = 32
 #: Bytes of chunk text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 24 << 20
+REMEMBERED = 12 << 20
 _GEAR = np.random.default_rng(19937).integers(0, 1 << 32, 256, dtype=np.uint32)
 _ODD_SIGNS = re.compile("[　-\U0010ffff]")
 #: A blank behind a sign that certainly is none: there all encodings agree.
@@ -74,19 +75,14 @@ class Encoder:
         self.fast = tiktoken.Encoding("merges", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memory = vocab.Memory(remembered)
         self.stats = {"chunks": 0, "encoded": 0}
-        size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
-        self.pieces: list[bytes] = [b""] * size
-        for token, i in ranks.items():
-            self.pieces[i] = token
-        for special in vocab.content(path)["added_tokens"]:
-            self.pieces[special["id"]] = special["content"].encode()
-
-    def plain(self, text: str) -> list[int]:
+        vocab.content.cache_clear()
+
+    def plain(self, text: str) -> array:
         if _ODD_SIGNS.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return array("i", self.library.encode(text, add_special_tokens=False).ids)
+        return array("i", self.fast.encode_ordinary(text))
 
-    def chunk(self, text: str) -> tuple[str, list[int] | None, str]:
+    def chunk(self, text: str) -> tuple[str, array | None, str]:
         """What stands before the first agreeing place, the ids between first and last, what stands behind.
 
         Without an agreeing place the ids are None and all stands behind.
@@ -109,11 +105,12 @@ class Encoder:
             self.memory.put(text, found, len(text))
         return found
 
-    def encode(self, chunks: list[str]) -> list[int]:
+    def encode(self, chunks: list[str]) -> array:
         """The ids of the text that the chunks make up."""
-        if any(s in text for text in ("".join(chunks),) for s in self.specials):
-            return self.library.encode("".join(chunks), add_special_tokens=False).ids
-        ids: list[int] = []
+        whole = "".join(chunks)
+        if any(s in whole for s in self.specials):
+            return array("i", self.library.encode(whole, add_special_tokens=False).ids)
+        ids = array("i")
         open_end = ""
         for text in chunks:
             head, body, tail = self.chunk(text)
@@ -132,6 +129,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def pieces(path: str) -> list[bytes]:
+    """The bytes that each id stands for."""
+    model, raw = vocab.content(path), {letter: b for b, letter in vocab.byte_letters().items()}
+    found = {i: bytes(raw[c] for c in token) for token, i in model["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+    vocab.content.cache_clear()
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
 def chunked(column: pa.Array, mean: int = CHUNK) -> Iterator[list[str]]:
     """The chunks of each text of a column."""
     data, offsets = T.utf8(column)
@@ -144,35 +150,40 @@ def chunked(column: pa.Array, mean: int = CHUNK) -> Iterator[list[str]]:
         yield [raw[x:y].decode() for x, y in zip(edges, edges[1:], strict=False)] if b > a else []
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    work = encoder(path)
+    for batch in T.slices(batches, "text", 1 << 20):
+        ids = [np.frombuffer(work.encode(chunks), np.int32) for chunks in chunked(batch.column("text"))]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    table = pieces(path)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part, texts = batch.slice(k, 512), []
+            for row in part.column("ids"):
+                ids = row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else []
+                if ids and (max(ids) >= len(table) or min(ids) < 0):
+                    ids = [i for i in ids if 0 <= i < len(table)]
+                texts.append(b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = encoder(path)
-        for batch in T.slices(batches, "text", 1 << 20):
-            ids = [np.array(work.encode(chunks), np.int32) for chunks in chunked(batch.column("text"))]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "ids"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, path), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encode`` and the text that their ids stand for; invalid UTF-8 becomes U+FFFD."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(path).pieces
-        for batch in batches:
-            column = batch.column("ids")
-            for k in range(0, batch.num_rows, 512):
-                part = column.slice(k, 512)
-                texts = []
-                for ids in part:
-                    ids = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                    if ids and (max(ids) >= len(pieces) or min(ids) < 0):
-                        ids = [i for i in ids if 0 <= i < len(pieces)]
-                    texts.append(b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 512), part, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
-
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass, so that the ids do not leave the Python worker in between."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"doc_id {kind}, ids array<int>, decoded string")

@@ -140,6 +140,7 @@ class WordEncoder:
         self.letters = {b: c for b, c in vocab.byte_letters().items()}
         self.specials = vocab.special_strings(path)
         self.words, self.parts = vocab.Memory(remembered), vocab.Memory(remembered)
+        vocab.content.cache_clear()
 
     def part(self, part: str) -> tuple[int, ...]:
         found = self.parts.get(part)

@@ -218,6 +218,7 @@ class Counter:
         self.specials = vocab.special_strings(path)
         self.letters = {letter: b for b, letter in vocab.byte_letters().items()}
         self.memory, self.parts = vocab.Memory(remembered), vocab.Memory(remembered)
+        vocab.content.cache_clear()
 
     def part(self, part: str) -> int:
         found = self.parts.get(part)
