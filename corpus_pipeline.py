@@ -43,7 +43,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each document, and the digest of what the ids decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(docs, path), path)
+    found = bpe.round_trip(docs, path)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
