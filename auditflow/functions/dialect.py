@@ -45,6 +45,43 @@ def _without_recursion(pattern: str) -> str:
     return rf"{head}(?:(?:{_GROUP})*+{tail}\b|(?:,[0-9]{{2,3}}(?={_GROUP}))*+\b))"
 
 
+# A separator with three places for blanks splits one run of them in quadratically many ways.
+# Here a run is taken in one way only: up to the sign or word inside it possessively, and
+# behind that as far as the value cannot begin earlier.
+_SEPARATORS = (
+    (re.compile(r"\\s\*\(\?:is\\s\*\|\[:=\]\\s\*\|\\s\+\)(?=\()"), lambda m: r"is|[:=]", True),
+    (re.compile(r"\\s\*\(\?:((?:[^()\\]|\\\.|\(\?:ber\)\?)+)\|\\s\+\)\\s\*(?=\()"), lambda m: m[1], True),
+    (re.compile(r"\\s\*\(\?:([a-z|.?\\]+)\)\?\\s\*\[:=\]\?\\s\*(?=\()"), lambda m: m[1], False),
+    (re.compile(r"\\s\*\[:=\]\?\\s\*(?=\()"), None, False),
+)
+# A value that may hold blanks, and at most how many characters.
+_BLANK_VALUE = re.compile(r"\((?:\\\+\?)?\[[^\]]*\\s[^\]]*\]\{\d+,(\d+)\}\)")
+
+
+def _single_blank_runs(pattern: str) -> str:
+    """``pattern`` with separators that take a run of blanks in one way, with the same matches.
+
+    A value that cannot hold a blank begins at the first other character.  One that can
+    may take blanks in front of its first other character, nearest ones first, but no more
+    than its length: so all further blanks are passed possessively.
+    """
+    for form, inside, needed in _SEPARATORS:
+        m = form.search(pattern)
+        if m is None:
+            continue
+        head, value = pattern[: m.start()], pattern[m.end() :]
+        blank = _BLANK_VALUE.match(value)
+        run = rf"(?:\s(?=\s{{{blank[1]}}}))*+\s*" if blank else r"\s*+"
+        if needed:  # a word or sign, else a blank at least
+            separator = rf"(?:\s*+(?:{inside(m)}){run}|\s{run})"
+        else:  # words and signs may both be missing
+            sign = rf"\s*+[:=]{run}"
+            word = "" if inside is None else rf"\s*+(?:{inside(m)})(?:{sign}|{run})|"
+            separator = rf"(?:{word}{sign}|{run})"
+        return head + separator + value
+    return pattern
+
+
 def _either_case(lead: str) -> str:
     """``lead`` for both cases, written out: a plain class is tested faster than a folded one."""
     folded = lead + lead.upper() + "".join(v for c, v in CASE_VARIANTS.items() if c in lead)
@@ -74,7 +111,7 @@ def java_regex(pattern: str, lead: str | None = None) -> str:
     """
     out, in_class, i = [], False, 0
     fold = pattern.startswith("(?i)")
-    pattern = _without_recursion(pattern[4:] if fold else pattern)
+    pattern = _single_blank_runs(_without_recursion(pattern[4:] if fold else pattern))
     if lead is not None:
         out.append(f"(?=[{_either_case(lead) if fold else lead}])")
     out.append("(?iu)" if fold else "")
