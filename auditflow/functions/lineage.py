@@ -1,23 +1,36 @@
-"""Cutting lineage: reliable checkpoints in the shared folder of the cluster."""
+"""Folders that the whole cluster shares, and results written there once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
+
+    Where none is set a temporary folder serves a local session; on a cluster that is an
+    error, as executors would not see it.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="auditflow-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/auditflow-{spark.sql('SELECT uuid()').first()[0]}"
-    return tempfile.mkdtemp(prefix="auditflow-")
+    """A name for a new folder in the shared one."""
+    return f"{shared(spark)}/auditflow-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, for results that are read several times."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(df.sparkSession))
+    shared(df.sparkSession)
     return df.checkpoint()

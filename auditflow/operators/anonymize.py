@@ -43,14 +43,17 @@ ENTITY_TAGS: tuple[tuple[tuple[str, ...], str], ...] = (
 
 
 def tag_of(f: str) -> str:
-    """SQL for the tag of finding ``f``: from its bracketed suggestion, else from its type."""
+    """SQL for the tag of finding ``f``: from its bracketed suggestion, else from its type.
+
+    A tag holds no brackets, so that a token ends at its first one and is found again.
+    """
     suggested, entity = f"coalesce({f}.suggested_synthetic, '')", f"coalesce({f}.entity_type, '')"
     chain = " ".join(
         "WHEN " + " OR ".join(f"contains({entity}, '{w}')" for w in words) + f" THEN '{tag}'"
         for words, tag in ENTITY_TAGS)
     return (f"CASE WHEN startswith({suggested}, '[') AND endswith({suggested}, ']') "
-            rf"THEN regexp_replace(regexp_replace({suggested}, r'^[\[\]]+|[\[\]]+\z', ''), r'_[^_]*\z', '') "
-            f"{chain} ELSE coalesce({f}.category, 'PII') END")
+            rf"THEN regexp_replace(regexp_replace({suggested}, r'[\[\]]+', ''), r'_[^_]*\z', '') "
+            f"{chain} ELSE translate(coalesce({f}.category, 'PII'), '[]', '') END")
 
 
 def _tokens(mask_mode: str, mode_col: str | None = None) -> Column:
@@ -62,7 +65,7 @@ def _tokens(mask_mode: str, mode_col: str | None = None) -> Column:
         return f"cast(struct(s.start, s.finding_ord, s.len, s.category, s.tag, {name}, s.original) as {TOKEN})"
 
     if mask_mode == "redacted":
-        return F.expr(f"""transform(spans, s -> {token("concat('[', s.category, ']')")})""")
+        return F.expr(f"""transform(spans, s -> {token("concat('[', translate(s.category, '[]', ''), ']')")})""")
     numbered = token("concat('[', t, '_', i + 1, ']')")
     return F.expr("array_sort(flatten(transform(array_distinct(spans.tag), t -> "
                   f"transform(filter(spans, s -> s.tag = t), (s, i) -> {numbered}))))")

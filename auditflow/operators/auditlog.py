@@ -87,7 +87,8 @@ def retain_last(log: DataFrame, n: int = RETAINED, order: tuple[str, ...] = ("id
                 by: str | None = None) -> DataFrame:
     """The newest ``n`` entries, of the whole log or per value of ``by``.
 
-    Both forms cut to ``n`` rows in each map task before anything is shuffled.
+    Both forms cut to ``n`` rows in each map task before anything is shuffled, the second one
+    up to Spark's ``spark.sql.window.group.limit.threshold`` (1,000): raise that for a larger ``n``.
     """
     newest = [F.col(c).desc() for c in order]
     if by is None:
@@ -131,16 +132,17 @@ def category_buckets(log: DataFrame, financial_first: bool = False) -> DataFrame
 def activity_bins(log: DataFrame, order: tuple[str, ...] = ("id",)) -> DataFrame:
     """Threats of the last 20 entries over 7 bins; all zero if the log holds no threat.
 
-    An entry's bin is its position in the log modulo 7.  Positions of the last rows
-    follow from the row count, so the log itself is not numbered: the last rows and
-    the totals meet in one row.
+    An entry's bin is its id less one, modulo 7, also where older entries are gone.  In a
+    log without ids it is the position: that of the last rows follows from the row
+    count, so the log itself is not numbered.  The last rows and the totals meet in one row.
     """
+    number = F.col("id") - 1 if "id" in log.columns else F.lit(None).cast("long")
     last = log.orderBy(*[F.col(c).desc() for c in order]).limit(ACTIVITY_ROWS).select(
-        F.struct(*order, F.coalesce("threats_count", F.lit(1)).alias("n")).alias("e"))
+        F.struct(*order, number.alias("_number"), F.coalesce("threats_count", F.lit(1)).alias("n")).alias("e"))
     together = last.unionByName(log_totals(log), allowMissingColumns=True).agg(
         F.sort_array(F.collect_list("e"), asc=False).alias("es"),
         F.max("total_events").alias("total"), F.max("total_threats_blocked").alias("threats"))
-    in_bin = f"filter(es, (e, i) -> pmod(total - 1 - i, {ACTIVITY_BINS}) = b)"
+    in_bin = f"filter(es, (e, i) -> pmod(coalesce(e._number, total - 1 - i), {ACTIVITY_BINS}) = b)"
     threats = f"aggregate({in_bin}, 0L, (s, e) -> s + e.n)"
     return together.select(F.expr(
         f"inline(transform(sequence(0, {ACTIVITY_BINS - 1}), b -> struct(b as bin, "

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The risk levels, the lowest first.
+LEVELS = ("MODERATE", "HIGH RISK", "CRITICAL RISK")
+
+
 def exposure_rollup(found: DataFrame, source_col: str = "source") -> DataFrame:
     """Findings and texts by source, label and severity, with subtotals.
 
@@ -48,6 +52,15 @@ def outgoing_text(audited: DataFrame, key: str = "doc_id", text_col: str = "text
         changed.alias("intercepted"))
 
 
+def releasable_corpus(audited: DataFrame, max_level: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text: as it is up to the risk level ``max_level``, sanitized beyond it."""
+    if max_level not in LEVELS:
+        raise ValueError(f"max_level must be one of {LEVELS}")
+    as_it_is = F.col("risk_level").isin(list(LEVELS[: LEVELS.index(max_level) + 1]))
+    return audited.select(key, F.when(as_it_is, F.col(text_col)).otherwise(F.col("sanitized_text")).alias("released"),
+                          "risk_level", as_it_is.alias("as_it_is"))
+
+
 def repeated_values(findings: DataFrame, min_docs: int = 2, key: str = "doc_id") -> DataFrame:
     """Values (hashed) that occur in several texts.
 
@@ -59,9 +72,14 @@ def repeated_values(findings: DataFrame, min_docs: int = 2, key: str = "doc_id")
     return counted.where(F.col("n_docs") >= min_docs)
 
 
-def stable_token(tag: Column, original: Column, secret: str, width: int = 16) -> Column:
-    """A token that depends on the value only, so equal values share it everywhere."""
-    digest = F.upper(F.substring(F.sha2(F.concat(F.lit(secret), tag, F.lit("\x1f"), original), 256), 1, width))
+def stable_token(tag: Column, original: Column, secret: str) -> Column:
+    """A token that depends on the value only, so equal values share it everywhere.
+
+    It holds the whole digest.  Each part of what is hashed has its length in front, so
+    no two triples of secret, tag and value read the same.
+    """
+    sized = F.concat(F.lit(f"{len(secret)}:{secret}"), F.length(tag).cast("string"), F.lit(":"), tag, original)
+    digest = F.upper(F.sha2(sized, 256))
     return F.concat(F.lit("["), tag, F.lit("_"), digest, F.lit("]"))
 
 

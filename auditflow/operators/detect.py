@@ -63,10 +63,14 @@ def with_findings(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     """
     kept = df.columns
     hits = with_matches(df, text_col, rules)
-    firsts = hits.select(*kept, "_hits", F.expr("array_distinct(_hits.quote)").alias("_quotes"))
+    # Equal values stand side by side once sorted, the first one in front: no search per value.
+    by_value = hits.select(*kept, F.expr(
+        "array_sort(transform(_hits, (h, i) -> named_struct('quote', h.quote, 'at', i, 'rule_ord', h.rule_ord)))").alias("_sorted"))
+    firsts = by_value.select(*kept, F.expr(
+        "array_sort(transform(filter(_sorted, (s, i) -> i = 0 OR get(_sorted, i - 1).quote <> s.quote), "
+        "s -> named_struct('at', s.at, 'quote', s.quote, 'rule_ord', s.rule_ord)))").alias("_order"))
     ordered = firsts.select(*kept, F.expr(
-        "transform(_quotes, (q, i) -> named_struct('n', i + 1, 'quote', q, 'rule_ord', "
-        "get(_hits.rule_ord, cast(array_position(_hits.quote, q) - 1 as int))))").alias("_firsts"))
+        "transform(_order, (s, i) -> named_struct('n', i + 1, 'quote', s.quote, 'rule_ord', s.rule_ord))").alias("_firsts"))
     of_rule = {name: f"get({sql_strings([getattr(r, name) for r in rules])}, f.rule_ord - 1)"
                for name in ("label", "category", "severity", "prefix")}
     finding = ", ".join((

@@ -32,15 +32,20 @@ def min_length_gate(events: DataFrame, text_col: str = "text", source_col: str =
 
 def read_control(users: DataFrame, control: DataFrame, key: str = "user") -> DataFrame:
     """The present pause state per user; without any control row it is not paused."""
-    state = pause_states(control, [key]).groupBy(key).agg(F.max_by("is_paused", "ts").alias("is_paused"))
+    state = pause_states(control, [key]).groupBy(key).agg(F.max_by("is_paused", F.struct(*_order(control))).alias("is_paused"))
     return users.join(state, key, "left").withColumn("is_paused", F.coalesce("is_paused", F.lit(False)))
 
 
+def _order(control: DataFrame) -> list[str]:
+    """Control rows stand in the order of their times, and at one time in that of ``seq``."""
+    return ["ts", "seq"] if "seq" in control.columns else ["ts"]
+
+
 def pause_states(control: DataFrame, keys: list[str]) -> DataFrame:
-    """``control`` (keys, ts, paused) with the state after each row; a null ``paused`` flips it."""
+    """``control`` (keys, ts, paused, and seq where times repeat) with the state after each row; a null ``paused`` flips it."""
     flip = F.col("paused").isNull()
     resolved = running(
-        control.withColumn(SLICE, slice_of("ts")), keys, ["ts"],
+        control.withColumn(SLICE, slice_of("ts")), keys, _order(control),
         last={"_set": F.col("paused")}, since={"_flips": (flip.cast("int"), ~flip)})
     odd = F.pmod("_flips", F.lit(2)) == 1
     return resolved.withColumn("is_paused", F.coalesce("_set", F.lit(False)) != odd).drop("_flips", "_set", SLICE)
@@ -48,13 +53,14 @@ def pause_states(control: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_pause_state(events: DataFrame, control: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``is_paused`` as of each event (keys, ts); a control row counts from its own time on."""
+    tie = F.col("seq") if "seq" in control.columns else F.lit(0)
     states = pause_states(control, keys).select(*keys, "ts", F.col("is_paused").alias("_state"),
-                                                F.lit(0).alias("_kind"))
+                                                F.lit(0).alias("_kind"), tie.cast("long").alias("_tie"))
     both = events.withColumn("_kind", F.lit(1)).unionByName(states, allowMissingColumns=True)
     sliced = both.withColumn(SLICE, slice_of("ts"))
-    known = running(sliced, keys, ["ts", "_kind"], last={"_known": F.col("_state")})
+    known = running(sliced, keys, ["ts", "_kind", "_tie"], last={"_known": F.col("_state")})
     return known.where(F.col("_kind") == 1).withColumn(
-        "is_paused", F.coalesce("_known", F.lit(False))).drop("_kind", "_state", "_known", SLICE)
+        "is_paused", F.coalesce("_known", F.lit(False))).drop("_kind", "_tie", "_state", "_known", SLICE)
 
 
 def pause_gate(events: DataFrame, control: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,8 +32,8 @@ def with_merged(df: DataFrame, semantic: DataFrame | None = None, key: str = "do
                 text_col: str = "text") -> DataFrame:
     """Put external findings before the rule findings and renumber what remains.
 
-    A finding is kept if its stripped quote is new for the text and occurs in it.
-    Without external findings the rule findings are distinct and grounded already.
+    A finding is kept if its stripped quote is new for the text and occurs in it; what a
+    rule found occurs in any case.  Without external findings the rule findings are distinct and grounded already.
     """
     if semantic is None:
         return df
@@ -43,13 +43,14 @@ def with_merged(df: DataFrame, semantic: DataFrame | None = None, key: str = "do
         F.coalesce("semantic", F.array().cast(f"array<{FINDING}>")), "findings").alias("_all"))
     quoted = every.select(*kept, "_all", F.transform(
         "_all", lambda f: strip(F.coalesce(f["verbatim_quote"], F.lit("")))).alias("_quotes"))
-    grounded = F.filter("_all", lambda f, i: (
-        (F.get("_quotes", i) != "")
-        & (F.array_position("_quotes", F.get("_quotes", i)) == i + 1)
-        & F.contains(F.col(text_col), F.get("_quotes", i))
-    ))
-    numbered = F.transform(grounded, lambda f, i: f.withField("finding_ord", (i + 1).cast("int")))
-    return quoted.select(*kept, computed_once(numbered).alias("findings"))
+    by_quote = quoted.select(*kept, "_all", "_quotes", F.array_sort(
+        F.transform("_quotes", lambda q, i: F.struct(q.alias("quote"), i.alias("at")))).alias("_sorted"))
+    # The first finding of each quote, in the order of the findings.
+    first = by_quote.select(*kept, "_all", "_quotes", F.expr(
+        "array_sort(transform(filter(_sorted, (s, i) -> s.quote <> '' AND (i = 0 OR get(_sorted, i - 1).quote <> s.quote)), s -> s.at))").alias("_first"))
+    grounded = F.filter("_first", lambda i: (F.get("_all", i)["source"] == "pattern_rule") | F.contains(F.col(text_col), F.get("_quotes", i)))
+    numbered = F.transform(grounded, lambda at, i: F.get("_all", at).withField("finding_ord", (i + 1).cast("int")))
+    return first.select(*kept, computed_once(numbered).alias("findings"))
 
 
 def _located(text_col: str) -> Column:

@@ -117,8 +117,8 @@ _SCENARIO = "cast(c_custkey % 50 as varchar(20))"
 REQUEST_BODY = _json(f"""(case c_custkey % 6
  when 0 then '{{"text": "  ' || c_name || '^n", "scenario_id": "' || {_SCENARIO} || '"}}'
  when 1 then '{{"text": "' || c_mktsegment || '", "use_cached_benchmark": true, "scenario_id": "' || {_SCENARIO} || '", "mask_mode": "redacted"}}'
- when 2 then '{{"text": "   ", "source": "desktop"}}'
- when 3 then '{{"text": "' || c_name || '", "api_key": " k ", "model_id": "gemma-4-26b-a4b-it", "temperature": 0.5}}'
+ when 2 then '{{"text": "   ", "source": "desktop"}}' || case when c_custkey % 4 = 0 then ' and more' else '' end
+ when 3 then '{{"text": "' || c_name || '", "api_key": " k ", "model_id": "gemma-4-26b-a4b-it", "temperature": ' || case when c_custkey % 4 = 1 then '0.5' else '"0.7"' end || '}}'
  when 4 then '{{"text": "' || c_name || '", "api_key": "k", "model_id": "other", "source": "extension", "scenario_id": "3"}}'
  else 'text=' || c_name end)""")
 
@@ -173,4 +173,4 @@ def copy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pause rows per user: errors pause, signups resume, purchases flip."""
     return load(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup", "purchase")).select(
-        F.col("user_id").cast("string").alias("user"), "ts", F.expr(EVENT_PAUSED).alias("paused"))
+        F.col("user_id").cast("string").alias("user"), "ts", F.col("event_id").alias("seq"), F.expr(EVENT_PAUSED).alias("paused"))

@@ -217,9 +217,28 @@ def audit_report(spark, sf_dir):
         F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("vault"))
 
 
-@query("report_json")
+@query("report_json", O.audited(O.NOTES, """SELECT w.doc_id, sha256(w.text) AS original_sha, sha256(w.sanitized) AS sanitized_sha,
+  'synthetic' AS mask_mode, s.n_findings AS total_risks_detected, s.critical AS critical_risks, s.high AS high_risks, s.medium AS medium_risks,
+  CAST(s.risk_score AS INTEGER) AS risk_score, s.risk_level, f.found, v.vault, CAST(NULL AS BOOLEAN) AS is_benchmark
+  FROM rewritten w JOIN scored s USING (doc_id)
+  LEFT JOIN (SELECT doc_id, string_agg(category || ':' || severity || ':' || verbatim, '|' ORDER BY finding_ord) AS found FROM merged GROUP BY doc_id) f USING (doc_id)
+  LEFT JOIN (SELECT doc_id, string_agg(token || '=' || original, '|' ORDER BY start) AS vault FROM vault GROUP BY doc_id) v USING (doc_id)"""))
 def report_json(spark, sf_dir):
-    return report(audit(I.documents(spark, sf_dir))).select("doc_id", F.to_json("report").alias("report"))
+    """Every field of the JSON report, read back from the JSON."""
+    body = report(audit(I.notes(spark, sf_dir))).select("doc_id", "report", F.to_json("report").alias("body"))
+    read = body.select("doc_id", F.from_json("body", body.schema["report"].dataType).alias("r"))
+    entries = F.map_entries("r.vault")
+    return read.select(
+        "doc_id", F.sha2("r.original_text", 256).alias("original_sha"), F.sha2("r.sanitized_text", 256).alias("sanitized_sha"), "r.mask_mode", "r.stats.*",
+        F.nullif(F.array_join(F.transform("r.findings", lambda f: F.concat_ws(":", f["category"], f["severity"], f["verbatim_quote"])), "|"), F.lit("")).alias("found"),
+        F.nullif(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|"), F.lit("")).alias("vault"), "r.is_benchmark")
+
+
+@query("releasable_corpus", O.audited(O.NOTES, """SELECT w.doc_id, sha256(CASE WHEN risk_level <> 'CRITICAL RISK' THEN text ELSE sanitized END) AS released_sha,
+  risk_level, risk_level <> 'CRITICAL RISK' AS as_it_is FROM rewritten w JOIN scored USING (doc_id)"""))
+def releasable_corpus(spark, sf_dir):
+    released = corpus.releasable_corpus(audit(I.notes(spark, sf_dir)), "HIGH RISK")
+    return released.select("doc_id", F.sha2("released", 256).alias("released_sha"), "risk_level", "as_it_is")
 
 
 @query("outgoing_text", O.audited(O.DOCUMENTS, """SELECT w.doc_id, sha256(sanitized) AS outgoing_sha,
@@ -250,7 +269,10 @@ def restored_redacted(spark, sf_dir):
     return restore.with_restored(audited).select("doc_id", "restored_text")
 
 
-@query("roundtrip_violations", "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS violations FROM documents")
+@query("roundtrip_violations", O.audited(O.DOCUMENTS, f"""SELECT count(*) AS n_docs, count(*) FILTER (out <> text AND NOT hit) AS violations FROM (
+  SELECT w.doc_id, w.text, {_APPLY.format(text='w.sanitized', entries='coalesce(entries, [])')} AS out, coalesce(hit, false) AS hit
+  FROM rewritten w LEFT JOIN (SELECT v.doc_id, list({{'t': token, 'o': original}} ORDER BY length(token) DESC, start) AS entries, bool_or(contains(src.text, token)) AS hit
+    FROM vault v JOIN src USING (doc_id) GROUP BY v.doc_id) USING (doc_id)) r"""))
 def roundtrip_violations(spark, sf_dir):
     checked = restore.roundtrip(audit(I.documents(spark, sf_dir)))
     return checked.agg(F.count("*").alias("n_docs"), F.count_if(~F.col("exact") & ~F.col("collision")).alias("violations"))
@@ -414,6 +436,15 @@ def activity_bins(spark, sf_dir):
     return auditlog.activity_bins(_log(spark, sf_dir), order=("doc_id",))
 
 
+@query("activity_bins_retained", _logged("""SELECT CAST(b.bin AS INTEGER) AS bin, CAST(coalesce(sum(threats_count), 0) AS BIGINT) AS threats
+  FROM (SELECT unnest(range(7)) AS bin) b LEFT JOIN (SELECT threats_count, (id - 1) % 7 AS bin FROM (
+    SELECT threats_count, row_number() OVER (ORDER BY doc_id) AS id FROM log) ORDER BY id DESC LIMIT 20) x USING (bin) GROUP BY b.bin"""))
+def activity_bins_retained(spark, sf_dir):
+    """The bins of a log of which the newest 500 entries are left: their ids stay."""
+    numbered = auditlog.assign_log_ids(_log(spark, sf_dir).select("doc_id", "threats_count"), ["doc_id"])
+    return auditlog.activity_bins(auditlog.retain_last(numbered))
+
+
 @query("recent_log", _logged(f"SELECT {_LOG_ROW} FROM log ORDER BY doc_id DESC LIMIT 30"))
 def recent_log(spark, sf_dir):
     return _key(auditlog.recent(_log(spark, sf_dir), order=("doc_id",)))
@@ -500,11 +531,26 @@ def log_export(spark, sf_dir):
     return _key(spark.read.schema(ddl).json(f"{path}/date=2024-01-01"))
 
 
+@query("read_audit_log", _logged("""SELECT id, strftime(timestamp '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S') AS at_time, source, threats_count, categories,
+  sanitized_text, 'SANITIZED' AS status FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS id FROM log) ORDER BY id DESC LIMIT 30"""))
+def read_audit_log(spark, sf_dir):
+    """The newest entries, exported as a JSON array and read back; broken, other and missing files add nothing."""
+    path = scratch(spark)
+    newest = auditlog.recent(auditlog.assign_log_ids(_log(spark, sf_dir), ["doc_id"]))
+    newest.agg(F.to_json(F.collect_list(F.struct("id", "timestamp", "source", "machine", "user", "threats_count", "categories", "sanitized_text", "status")))).write.text(f"{path}/log")
+    for name, body in (("broken", '[{"id": 1, '), ("other", '{"id": 1}')):
+        spark.range(1).select(F.lit(body)).write.text(f"{path}/{name}")
+    logs = [tables.read_audit_log(spark, f"{path}/{name}") for name in ("log", "broken", "other", "missing")]
+    every = logs[0].unionByName(logs[1]).unionByName(logs[2]).unionByName(logs[3])
+    return every.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time"), "source", "threats_count",
+                        F.array_join("categories", ",").alias("categories"), "sanitized_text", "status")
+
+
 # --- Requests, reported events, external findings ------------------------------------
 
 _BODIES = f"SELECT c_custkey AS request_id, {I.REQUEST_BODY} AS body FROM customer"
 _REQUESTS = f"""bodies AS ({_BODIES}),
-parsed AS (SELECT request_id, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body END AS j FROM bodies),
+parsed AS (SELECT request_id, coalesce(json_valid(body), false) AS ok, CASE WHEN json_valid(body) THEN body END AS j FROM bodies),
 fields AS (SELECT request_id, ok, regexp_replace(coalesce(j ->> '$.text', ''), '^\\s+|\\s+$', '', 'g') AS text, j ->> '$.scenario_id' AS scenario_id,
   coalesce(j ->> '$.use_cached_benchmark', 'false') = 'true' AS use_cached_benchmark, coalesce(j ->> '$.mask_mode', 'synthetic') AS mask_mode,
   coalesce(j ->> '$.model_id', 'gemma-4-31b-it') AS model_id, trim(coalesce(j ->> '$.api_key', '')) <> '' AS has_key,
@@ -593,7 +639,7 @@ def semantic_findings(spark, sf_dir):
 
 def _scenarios(spark, sf_dir) -> DataFrame:
     """The benchmark items as prepared texts with a stored audit."""
-    finding = F.struct(F.lit("f1").alias("id"), *[F.substring("text", 1, 5).alias(c) for c in sem.FINDING_FIELDS])
+    finding = F.struct(F.lit("f1").alias("id"), *[F.regexp_extract("text", "[a-z]+", 0).alias(c) for c in sem.FINDING_FIELDS])
     audit_ = F.struct(F.concat(F.lit("stored "), "item_id").alias("compliance_summary"), F.lit(90).alias("risk_score"),
                       F.lit("CRITICAL RISK").alias("risk_level"), F.array(finding).alias("findings"))
     return load(spark, sf_dir, "benchmark").select(
@@ -628,9 +674,9 @@ def choose_semantic_source(spark, sf_dir):
 
 
 _CHOSEN_ROWS = f"(WITH {_REQUESTS},\n{_RESPONSES},\n{_CHOSEN} SELECT * FROM chosen)"
-_CHOSEN_FINDINGS = f"""SELECT request_id AS doc_id, 1 AS ord, CASE origin WHEN 'model' THEN 'SECRET' ELSE left(stored, 5) END AS category,
-  CASE origin WHEN 'model' THEN 'HIGH' ELSE left(stored, 5) END AS severity, CASE origin WHEN 'model' THEN quote ELSE left(stored, 5) END AS verbatim,
-  CASE origin WHEN 'model' THEN '' ELSE left(stored, 5) END AS entity, CASE origin WHEN 'model' THEN '' ELSE left(stored, 5) END AS suggested
+_CHOSEN_FINDINGS = f"""SELECT request_id AS doc_id, 1 AS ord, CASE origin WHEN 'model' THEN 'SECRET' ELSE regexp_extract(stored, '[a-z]+') END AS category,
+  CASE origin WHEN 'model' THEN 'HIGH' ELSE regexp_extract(stored, '[a-z]+') END AS severity, CASE origin WHEN 'model' THEN quote ELSE regexp_extract(stored, '[a-z]+') END AS verbatim,
+  CASE origin WHEN 'model' THEN '' ELSE regexp_extract(stored, '[a-z]+') END AS entity, CASE origin WHEN 'model' THEN '' ELSE regexp_extract(stored, '[a-z]+') END AS suggested
   FROM {_CHOSEN_ROWS} WHERE origin = 'cached' OR (origin = 'model' AND n_findings > 0)"""
 
 
@@ -649,20 +695,21 @@ def audit_requests(spark, sf_dir):
 
 # --- Copy and paste events --------------------------------------------------------------
 
-@query("min_length_gate", """SELECT conv_id, turn FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN left(text, 5) ELSE left(text, conv_id % 8) END AS t,
-    role = 'user' AS paste FROM conversations) WHERE length(trim(t, ' ' || chr(10) || chr(9) || chr(13))) >= CASE WHEN paste THEN 6 ELSE 3 END""")
+# Whole texts, and short ones: the words of each text by their place.
+@query("min_length_gate", """SELECT conv_id, turn, place FROM (SELECT conv_id, turn, role = 'user' AS paste, unnest([text] || string_split(text, ' ')) AS t,
+    generate_subscripts([text] || string_split(text, ' '), 1) - 1 AS place FROM conversations) WHERE length(trim(t, ' ' || chr(10) || chr(9) || chr(13))) >= CASE WHEN paste THEN 6 ELSE 3 END""")
 def min_length_gate(spark, sf_dir):
     e = load(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.when(F.col("role") == "user", "extension").otherwise("desktop").alias("source"),
-        F.expr("case when turn % 3 = 0 then left(text, 5) else left(text, cast(conv_id % 8 as int)) end").alias("text"))
-    return ev.min_length_gate(e).select("conv_id", "turn")
+        F.posexplode(F.concat(F.array("text"), F.split("text", " "))).alias("place", "text"))
+    return ev.min_length_gate(e).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
-_CONTROL = f"""control AS (SELECT user_id, ts, {I.EVENT_PAUSED} AS paused FROM events WHERE event_type IN ('error', 'signup', 'purchase')),
-numbered AS (SELECT *, sum(CASE WHEN paused IS NULL THEN 1 ELSE 0 END) OVER w AS flips FROM control WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+_CONTROL = f"""control AS (SELECT user_id, ts, event_id, {I.EVENT_PAUSED} AS paused FROM events WHERE event_type IN ('error', 'signup', 'purchase')),
+numbered AS (SELECT *, sum(CASE WHEN paused IS NULL THEN 1 ELSE 0 END) OVER w AS flips FROM control WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 based AS (SELECT *, last_value(CASE WHEN paused IS NOT NULL THEN flips END IGNORE NULLS) OVER w AS from_set,
-    coalesce(last_value(paused IGNORE NULLS) OVER w, false) AS base FROM numbered WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-states AS (SELECT user_id, ts, CASE WHEN (flips - coalesce(from_set, 0)) % 2 = 1 THEN NOT base ELSE base END AS is_paused FROM based)"""
+    coalesce(last_value(paused IGNORE NULLS) OVER w, false) AS base FROM numbered WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+states AS (SELECT user_id, ts, event_id, CASE WHEN (flips - coalesce(from_set, 0)) % 2 = 1 THEN NOT base ELSE base END AS is_paused FROM based)"""
 
 
 @query("pause_states", O.statement(_CONTROL, select="""SELECT CAST(user_id AS VARCHAR) AS "user", strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at_time, is_paused FROM states"""))
@@ -671,7 +718,7 @@ def pause_states(spark, sf_dir):
     return states.select("user", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at_time"), "is_paused")
 
 
-@query("pause_gate_asof", O.statement(_CONTROL, select="""SELECT e.event_id FROM events e ASOF LEFT JOIN states s
+@query("pause_gate_asof", O.statement(_CONTROL, select="""SELECT e.event_id FROM events e ASOF LEFT JOIN (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) s
   ON s.user_id = e.user_id AND e.ts >= s.ts WHERE e.event_type IN ('click', 'view') AND NOT coalesce(s.is_paused, false)"""))
 def pause_gate_asof(spark, sf_dir):
     copies = I.copy_events(spark, sf_dir).where(F.col("event_type").isin("click", "view")).drop("text")
@@ -679,7 +726,7 @@ def pause_gate_asof(spark, sf_dir):
 
 
 @query("control_state", O.statement(_CONTROL, select="""SELECT CAST(u.user_id AS VARCHAR) AS "user", coalesce(s.is_paused, false) AS is_paused
-  FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, max_by(is_paused, ts) AS is_paused FROM states GROUP BY user_id) s USING (user_id)"""))
+  FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, last(is_paused ORDER BY ts, event_id) AS is_paused FROM states GROUP BY user_id) s USING (user_id)"""))
 def control_state(spark, sf_dir):
     users = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user")).distinct()
     return ev.read_control(users, I.control_rows(spark, sf_dir))
@@ -760,9 +807,11 @@ def exposure_rollup(spark, sf_dir):
 @query("findings_vs_labels", O.detected(O.DOCUMENTS, """SELECT label, quality, toxic, count(*) AS n_findings, count(DISTINCT f.doc_id) AS n_docs
   FROM found f JOIN labels USING (doc_id) GROUP BY label, quality, toxic"""))
 def findings_vs_labels(spark, sf_dir):
-    found = findings(I.documents(spark, sf_dir)).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-    joined = found.join(load(spark, sf_dir, "labels"), "doc_id")
-    return joined.groupBy("label", "quality", "toxic").agg(F.sum("n").alias("n_findings"), F.count("*").alias("n_docs"))
+    labelled = I.documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    per_label = F.transform(F.array_distinct("findings.entity_type"), lambda e: F.struct(
+        e.alias("label"), F.size(F.filter("findings", lambda f: f["entity_type"] == e)).alias("n")))
+    counted = with_findings(labelled).select("quality", "toxic", F.explode(per_label).alias("p"))
+    return counted.groupBy("p.label", "quality", "toxic").agg(F.sum("p.n").alias("n_findings"), F.count("*").alias("n_docs"))
 
 
 @query("top_risk_documents", O.detected(O.DOCUMENTS, """SELECT doc_id, risk_score, risk_level, n_findings FROM scored
@@ -781,7 +830,7 @@ _SECRET = "demo"
 
 
 @query("stable_tokens", O.audited(O.DOCUMENTS, f"""SELECT d.source, tag, sha256(original) AS value_hash,
-  '[' || tag || '_' || upper(substring(sha256('{_SECRET}' || tag || chr(31) || original), 1, 16)) || ']' AS token, count(*) AS n_spans
+  '[' || tag || '_' || upper(sha256('{len(_SECRET)}:{_SECRET}' || length(tag) || ':' || tag || original)) || ']' AS token, count(*) AS n_spans
   FROM tokens JOIN documents d USING (doc_id) GROUP BY d.source, tag, original"""))
 def stable_tokens(spark, sf_dir):
     spans = corpus.spans_table(audit(I.documents(spark, sf_dir, "source")), keep=("source",))

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditflow.functions.json import STRICT, is_object, truthy
 from auditflow.functions.text import strip
 from auditflow.operators.auditlog import LOG_DDL, RECENT, recent
 from auditflow.operators.semantic import DEFAULT_MODEL, DEFAULT_TEMPERATURE
@@ -14,10 +15,7 @@ EVENT_DDL = (
     "user string, machine string, session_id string, seq bigint, ts timestamp, source string, "
     "text string, paused boolean"
 )
-REQUEST_DDL = (
-    "text string, scenario_id string, use_cached_benchmark boolean, mask_mode string, "
-    "model_id string, api_key string, temperature double, source string, _bad string"
-)
+REQUEST_DDL = "text string, scenario_id string, mask_mode string, model_id string, api_key string, temperature string, source string"
 # The entry as it stands in an exported log, with preformatted times.
 _ENTRY_DDL = (
     "id bigint, timestamp string, source string, machine string, user string, threats_count int, "
@@ -78,11 +76,14 @@ def export_audit_log(log: DataFrame, path: str, date: str, n: int = RECENT,
 
 
 def normalise_requests(bodies: DataFrame, body_col: str = "body") -> DataFrame:
-    """Parse request bodies, fill in the defaults and mark what is rejected in ``error``."""
+    """Parse request bodies, fill in the defaults and mark what is rejected in ``error``.
+
+    Syntax is strict, types are lenient: a number may be written as a string, and any value
+    that is neither empty nor zero switches the stored audit on.
+    """
     kept = [c for c in bodies.columns if c != body_col]
-    parsed = bodies.select(*kept, body_col, F.from_json(
-        body_col, REQUEST_DDL, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~strip(F.col(body_col)).startswith("{")
+    checked = bodies.select(*kept, body_col, (~is_object(F.col(body_col))).alias("_bad"))
+    parsed = checked.select(*kept, body_col, "_bad", F.when(~F.col("_bad"), F.from_json(body_col, REQUEST_DDL, STRICT)).alias("r"))
 
     def given(field: str, default) -> Column:
         return F.coalesce(F.col(f"r.{field}"), F.lit(default)).alias(field)
@@ -90,9 +91,10 @@ def normalise_requests(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     text = strip(F.coalesce("r.text", F.lit("")))
     rows = parsed.select(
         *kept, text.alias("text"), F.col("r.scenario_id").alias("scenario_id"),
-        given("use_cached_benchmark", False), given("mask_mode", "synthetic"), given("model_id", DEFAULT_MODEL),
+        truthy(F.col(body_col), "use_cached_benchmark").alias("use_cached_benchmark"), given("mask_mode", "synthetic"), given("model_id", DEFAULT_MODEL),
         (strip(F.coalesce("r.api_key", F.lit(""))) != "").alias("has_key"),
-        given("source", "web_app"), given("temperature", DEFAULT_TEMPERATURE), bad.alias("_bad"),
+        given("source", "web_app"),
+        F.when(F.col("r.temperature").isNull(), DEFAULT_TEMPERATURE).otherwise(F.col("r.temperature").try_cast("double")).alias("temperature"), "_bad",
     )
     return rows.withColumn("error", F.when(F.col("_bad"), BAD_BODY).when(F.col("text") == "", EMPTY_TEXT)).drop("_bad")
 

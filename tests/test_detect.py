@@ -57,7 +57,7 @@ def test_notes_against_brute(spark):
 
 
 def test_finding_fields(spark):
-    row = with_findings(texts(spark, ["adhar 4532 8901 2345, passwrd Lic@2026"])).first()
+    row = with_findings(texts(spark, ["adhar 6231 4470 9182, passwrd Qm!7731"])).first()
     assert [(f.id, f.category, f.severity, f.suggested_synthetic, f.source) for f in row.findings] == [
         ("p1", "SECRET", "CRITICAL", "[PASSWORD_1]", "pattern_rule"),
         ("p2", "GOVERNMENT_ID", "CRITICAL", "[AADHAAR_2]", "pattern_rule")]
