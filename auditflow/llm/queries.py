@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditflow.llm import bpe, compression, decontam, html_text, langid, licenses, lineage, packing, quality, simhash, token_count
+from auditflow.functions import lineage
+from auditflow.llm import bpe, compression, decontam, html_text, langid, licenses, packing, quality, simhash, token_count
 from auditflow.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

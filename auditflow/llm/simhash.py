@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.llm import lineage
+from auditflow.functions import lineage
 from auditflow.llm import text as T
 
 SHINGLE = 3
