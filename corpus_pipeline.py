@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditflow.llm import bpe, decontam, langid, lineage, quality, simhash
+from auditflow.functions import lineage
+from auditflow.llm import bpe, decontam, langid, quality, simhash
 from auditflow.llm import text as T
 
 #: The stages fit models and link texts through reachability, which SQL does not express.
