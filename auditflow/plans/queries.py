@@ -778,6 +778,71 @@ def stream_guard(spark, sf_dir):
     return spark.read.parquet(f"{path}/out/statuses").select(F.col("seq").alias("event_id"), "status")
 
 
+# The same guard with pause rows in the stream: purchases flip, errors pause, signups resume.
+_BY_SEQ = _CONTROL.replace("ORDER BY ts, event_id", "ORDER BY event_id")
+_GATED = """gated AS (SELECT e.event_id, e.user_id, e.ts, coalesce(s.is_paused, false) AS paused FROM events e
+  ASOF LEFT JOIN states s ON s.user_id = e.user_id AND e.event_id >= s.event_id WHERE e.event_type IN ('click', 'view'))"""
+_LONG_ENOUGH = f"length(trim(w.text)) >= CASE WHEN {I.EVENT_SOURCE} = 'extension' THEN 6 ELSE 3 END"
+_GUARD_GATED = _GUARD.replace("FROM events e", "FROM gated e").replace("  WHERE length", "  WHERE NOT paused AND length")
+
+
+def _events_with_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` written as a source writes them, and read as a stream."""
+    path, kind = f"{scratch(spark)}/in", F.col("event_type")
+    copied = kind.isin("click", "view")
+    load(spark, sf_dir, "events").where(copied | kind.isin("error", "signup", "purchase")).select(
+        F.col("user_id").cast("string").alias("user"), F.lit("host").alias("machine"), F.lit("tab").alias("session_id"),
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.expr(I.EVENT_SOURCE).alias("source"),
+        F.when(copied, F.expr(I.EVENT_TEXT)).alias("text"), F.expr(I.EVENT_PAUSED).alias("paused")).write.parquet(path)
+    return tables.read_event_stream(spark, path, "parquet")
+
+
+def _guarded_with_pauses(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark)
+    stream = guard.guard_stream(_events_with_pauses(spark, sf_dir))
+    guard.start_guard(stream, f"{path}/out", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return f"{path}/out"
+
+
+@query("stream_guard_pauses", O.audited(_EVENTS, f"""SELECT event_id, status FROM steps WHERE n > 0
+  UNION ALL SELECT event_id, 'control' FROM control
+  UNION ALL SELECT event_id, 'paused' FROM gated g JOIN rewritten w ON w.doc_id = g.event_id WHERE paused AND {_LONG_ENOUGH}""",
+    _BY_SEQ, _GATED, _GUARD_GATED, recursive=True))
+def stream_guard_pauses(spark, sf_dir):
+    return spark.read.parquet(f"{_guarded_with_pauses(spark, sf_dir)}/statuses").select(F.col("seq").alias("event_id"), "status")
+
+
+@query("stream_vault", O.audited(_EVENTS, """SELECT CAST(s.user_id AS VARCHAR) || '/host/tab' AS scope, v.token, max_by(v.original, s.event_id) AS original
+  FROM steps s JOIN vault v ON v.doc_id = s.event_id WHERE s.status = 'intercepted' GROUP BY s.user_id, v.token""",
+    _BY_SEQ, _GATED, _GUARD_GATED, recursive=True))
+def stream_vault(spark, sf_dir):
+    """The vault of each session after the stream: the entries of all batches, merged."""
+    entries = spark.read.parquet(f"{_guarded_with_pauses(spark, sf_dir)}/vault")
+    return guard.session_vault(entries).select("scope", "token", "original")
+
+
+@query("live_summary", O.audited(_EVENTS, f"""SELECT (SELECT count(*) FROM log) AS total_events, (SELECT CAST(sum(threats_count) AS BIGINT) FROM log) AS total_threats_blocked,
+    count(*) FILTER (b = 'secret') AS secrets_count, count(*) FILTER (b = 'pii') AS pii_count, count(*) FILTER (b = 'financial') AS financial_count,
+    (SELECT string_agg(id || ':' || event_id || ':' || source, ',' ORDER BY id DESC) FROM (SELECT * FROM log ORDER BY id DESC LIMIT 30)) AS recent,
+    (SELECT string_agg(t, ',' ORDER BY bin) FROM (SELECT r.bin, coalesce(sum(threats_count), 0) AS t FROM (SELECT unnest(range(7)) AS bin) r
+      LEFT JOIN (SELECT (id - 1) % 7 AS bin, threats_count FROM log ORDER BY id DESC LIMIT 20) x USING (bin) GROUP BY r.bin)) AS activity, false AS is_paused
+  FROM (SELECT {_bucket_sql(('secret', 'pii', 'financial'))} AS b FROM (SELECT unnest(string_split(categories, ',')) AS c FROM log))""",
+    "cats AS (SELECT doc_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM merged GROUP BY doc_id)",
+    f"""log AS (SELECT e.event_id, {I.EVENT_SOURCE} AS source, n_findings AS threats_count, categories, row_number() OVER (ORDER BY e.ts, e.event_id) AS id
+  FROM events e JOIN rewritten w ON w.doc_id = e.event_id JOIN scored s ON s.doc_id = e.event_id JOIN cats c ON c.doc_id = e.event_id
+  WHERE n_findings > 0 AND sanitized <> w.text)"""))
+def live_summary(spark, sf_dir):
+    path = scratch(spark)
+    log = auditlog.log_entries(audit(_event_stream(spark, sf_dir)))
+    guard.start_summary(log, f"{path}/summary", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    written = spark.read.schema(guard.SUMMARY_DDL + ", batch_id int").parquet(f"{path}/summary")
+    last = written.orderBy(F.col("batch_id").desc()).limit(1)
+    return last.select(
+        "total_events", "total_threats_blocked", "secrets_count", "pii_count", "financial_count",
+        F.array_join(F.transform("recent", lambda r: F.concat_ws(":", r["id"], r["seq"], r["source"])), ",").alias("recent"),
+        F.array_join(F.col("activity").cast("array<string>"), ",").alias("activity"), "is_paused")
+
+
 @query("stream_counters", O.detected(_EVENTS, f"""SELECT source, {_COUNTERS} FROM (SELECT {I.EVENT_SOURCE} AS source, n_findings
   FROM events e JOIN scored s ON s.doc_id = e.event_id) GROUP BY source"""))
 def stream_counters(spark, sf_dir):

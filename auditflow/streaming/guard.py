@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,18 +12,28 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditflow.operators.anonymize import vault
-from auditflow.operators.auditlog import guardian_counters, log_entries
+from auditflow.operators.auditlog import (
+    ACTIVITY_BINS, ACTIVITY_ROWS, RECENT, audit_summary, guardian_counters, log_entries)
 from auditflow.operators.events import long_enough
 from auditflow.operators.restore import upsert_vault
 from auditflow.operators.score import audit
 from auditflow.sources.tables import write_batch
 
 KEYS = ("user", "machine", "session_id")
+IDLE_MS = 7 * 24 * 3600 * 1000
 _STATE = "paused boolean, last_sanitized string, last_clean string"
 
 
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Decide the events of one guard in order; the state is three short values."""
+def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    """Decide the events of one guard in order; the state is three short values.
+
+    The events of a guard in one micro-batch are sorted together, so the size of a
+    micro-batch bounds what is held.  A guard idle for ``idle_ms`` forgets its last texts,
+    unless it is paused.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
     paused, written, clean = state.get if state.exists else (False, None, None)
     statuses = []
@@ -44,15 +55,23 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             status = "unchanged"
         statuses.append(status)
     state.update((paused, written, clean))
+    if idle_ms is not None and not paused:
+        state.setTimeoutDuration(idle_ms)
     out = rows[[*KEYS, "seq", "payload"]].copy()
     out["status"] = statuses
     out.loc[out["status"] != "intercepted", "payload"] = None
     yield out
 
 
-def guard_stream(events: DataFrame) -> DataFrame:
+def guard_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Each looked-at event of a stream with its ``status``; interceptions carry their audit.
 
+    A stream that runs on should give ``idle_ms``, IDLE_MS say, after which an idle guard's state
+    expires.  With a trigger that ends by itself it must be None, as Spark goes on to wait
+    for expiries.  For many guards set the RocksDB provider in
+    ``spark.sql.streaming.stateStore.providerClass``, and bound the micro-batches with
+    ``files_per_trigger`` of the source.
+
     A row without text is a pause row: ``paused`` sets the state of its guard, a null
     flips it.  The audit runs as native expressions before the keyed step, which
     compares hashes; only texts with findings travel through it.
@@ -70,9 +89,10 @@ def guard_stream(events: DataFrame) -> DataFrame:
         F.sha2("sanitized_text", 256).alias("sanitized_hash"),
         F.when(kind == "dirty", F.to_json(payload)).alias("payload"),
     )
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     decided = narrow.groupBy(*KEYS).applyInPandasWithState(
-        _decide, "user string, machine string, session_id string, seq bigint, payload string, status string",
-        _STATE, "append", GroupStateTimeout.NoTimeout)
+        partial(_decide, idle_ms=idle_ms), "user string, machine string, session_id string, seq bigint, payload string, status string",
+        _STATE, "append", timeout)
     return decided.select(*KEYS, "seq", "status", F.from_json("payload", shape).alias("p")).select(
         *KEYS, "seq", "status", "p.*")
 
@@ -112,3 +132,35 @@ def start_live_summary(audits: DataFrame, name: str, checkpoint: str,
     trigger = trigger or {"processingTime": interval}
     return running_counters(audits).writeStream.outputMode("complete").format("memory").queryName(name).option(
         "checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+_COUNTS = ("total_events", "total_threats_blocked", "secrets_count", "pii_count", "financial_count")
+SUMMARY_DDL = (", ".join(f"{c} bigint" for c in _COUNTS) + ", recent array<struct<id:bigint,seq:bigint,source:string,threats_count:int>>, "
+               "activity array<bigint>, is_paused boolean")
+
+
+def start_summary(log: DataFrame, path: str, checkpoint: str, is_paused: bool = False, **trigger) -> StreamingQuery:
+    """Keep the summary of a stream of log rows (``seq, ts, source, threats_count, categories``) as a table.
+
+    Each micro-batch adds its totals and its newest rows to the summary before it and writes
+    the new one, a single row, into a folder of its own; so a replayed batch starts from the same
+    summary again.  Ids count on over the batches.  Per batch the totals and at most 30 rows come
+    to the driver, however large it is.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.select("seq", "ts", "source", "threats_count", "categories").persist()
+        before = spark.read.schema(SUMMARY_DDL).parquet(f"{path}/batch_id={batch_id - 1}").first() if batch_id else None
+        added = audit_summary(batch).first()
+        totals = {c: added[c] + (before[c] if before else 0) for c in _COUNTS}
+        newest = batch.orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(RECENT).collect()
+        rows = [(totals["total_events"] - k, r["seq"], r["source"], r["threats_count"]) for k, r in enumerate(newest)]
+        rows = (rows + [tuple(r) for r in (before["recent"] if before else [])])[:RECENT]
+        activity = [0] * ACTIVITY_BINS
+        for number, _, _, threats in rows[:ACTIVITY_ROWS] if totals["total_threats_blocked"] else []:
+            activity[(number - 1) % ACTIVITY_BINS] += 1 if threats is None else threats
+        summary = spark.createDataFrame([(*totals.values(), rows, activity, is_paused)], SUMMARY_DDL)
+        write_batch(summary.coalesce(1), path, batch_id)
+        batch.unpersist()
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
