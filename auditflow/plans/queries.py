@@ -340,9 +340,25 @@ log AS (SELECT w.doc_id, {I.DOC_SOURCE} AS source, n_findings AS threats_count,
   WHERE n_findings > 0 AND sanitized <> text)"""
 
 
-def _log(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
-    """The audit log of the notes, one entry per changed text, ordered by ``doc_id``."""
-    docs = I.notes(spark, sf_dir) if texts is None else texts
+_WRITTEN: dict[tuple[str, str], str] = {}  # (application, tables) -> folder of the log
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log of the notes, one entry per changed text, ordered by ``doc_id``.
+
+    It is a table: the notes are audited and the entries written once in an application, and
+    every log query reads them.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _WRITTEN:
+        path = f"{scratch(spark)}/log"
+        _new_log(spark, sf_dir).write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
+
+
+def _new_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = I.notes(spark, sf_dir)
     stamped = docs.withColumns({
         "source": F.expr(I.DOC_SOURCE), "ts": F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id"))})
     return auditlog.log_entries(audit(stamped), keep_original=True)

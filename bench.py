@@ -34,6 +34,7 @@ HEADLINE = {
     "vault_latest": queries.vault_latest,
     "stable_tokens": queries.stable_tokens,
     "roundtrip_violations": queries.roundtrip_violations,
+    "log_written": queries._new_log,
     "category_buckets": queries.category_buckets,
     "pause_gate_asof": queries.pause_gate_asof,
     "retain_last_by_user": queries.retain_last_by_user,
