@@ -37,7 +37,7 @@ from auditflow.llm import vocab
 CHUNK = 512
 _REACH = 32
 #: Bytes of chunk text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 12 << 20
+REMEMBERED = 8 << 20
 _GEAR = np.random.default_rng(19937).integers(0, 1 << 32, 256, dtype=np.uint32)
 _ODD_SIGNS = re.compile("[　-\U0010ffff]")
 #: A blank behind a sign that certainly is none: there all encodings agree.
@@ -65,7 +65,7 @@ class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import tiktoken
 
-        self.library = vocab.library_tokenizer(path)
+        self.path = path
         model = vocab.content(path)["model"]
         raw = {letter: b for b, letter in vocab.byte_letters().items()}
         ranks = {bytes(raw[c] for c in token): i for token, i in model["vocab"].items()}
@@ -77,9 +77,13 @@ class Encoder:
         self.stats = {"chunks": 0, "encoded": 0}
         vocab.content.cache_clear()
 
+    def slow(self, text: str) -> array:
+        """By the tokenizers library, which is loaded when it is first needed."""
+        return array("i", vocab.library_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+
     def plain(self, text: str) -> array:
         if _ODD_SIGNS.search(text):
-            return array("i", self.library.encode(text, add_special_tokens=False).ids)
+            return self.slow(text)
         return array("i", self.fast.encode_ordinary(text))
 
     def chunk(self, text: str) -> tuple[str, array | None, str]:
@@ -109,7 +113,7 @@ class Encoder:
         """The ids of the text that the chunks make up."""
         whole = "".join(chunks)
         if any(s in whole for s in self.specials):
-            return array("i", self.library.encode(whole, add_special_tokens=False).ids)
+            return self.slow(whole)
         ids = array("i")
         open_end = ""
         for text in chunks:

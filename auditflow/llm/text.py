@@ -24,7 +24,7 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, max_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, cut so that the texts of ``column`` hold about ``max_bytes``."""
     for batch in batches:
         if not batch.num_rows:
