@@ -2,11 +2,12 @@
 
 Texts become templates: numbers, names and units are replaced by typed placeholders, all
 else is lower-cased and freed of outer signs.  Windows of five template tokens are hashed
-and joined with the benchmark's windows.  Hits of one document and item that lie on one
-diagonal (place in the text minus place in the item) fill the item's slots; they count only
-if the filling is consistent, so the same value of the item always stands for the same value
-of the text.  An item has leaked where neighbouring diagonals hold at least ``share`` of its
-windows.  So a question with other numbers, names or units is caught, and a text that
+and joined with the benchmark's windows.  The hits of one text and item are chained to a
+passage: places in the text and in the item rise together, and no two neighbours lie further
+apart than the item is long, so words may be put in or left out anywhere.  The hits of a
+passage fill the item's slots; those that disagree with what most of them say are not counted,
+unless they are word for word.  An item has leaked where a passage holds at least ``share`` of
+its windows.  So a question with other numbers, names or units is caught, and a text that
 merely has numbers in like places is not.
 
 Documents are scanned once, in a narrow stage.  A bit map of fixed size, made from the
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,6 @@ WINDOW = 5
 SHARE = 0.8
 #: log2 of the bits in the map: 2 MB, whatever the size of the benchmark.
 MAP_BITS = 24
-#: Diagonals that lie this near to one another are one passage: a few words were put in or left out.
-DRIFT = 4
 #: Fixed words that are units where they follow a number.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg lb lbs ounce ounces ton tons ml l liter liters litre litres "
@@ -187,27 +187,21 @@ def _window_rows(batch: pa.RecordBatch, name: str, bits: np.ndarray | None = Non
         row, places, grams = row[pick], places[pick], grams[pick]
     filled = slots[places[:, None] + np.arange(WINDOW)].view(np.int64).reshape(-1)
     return pa.RecordBatch.from_arrays(
-        [batch.column(name).take(pa.array(row)), pa.array(size[row]), pa.array(places - first[row]), pa.array(grams.view(np.int64)),
+        [batch.column(name).take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(size[row]), pa.array(places - first[row]), pa.array(grams.view(np.int64)),
          pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * WINDOW), pa.array(filled))],
-        [name, "size", "place", "gram", "slots"],
+        [name, "row", "size", "place", "gram", "slots"],
     )
 
 
 def template_windows(texts: DataFrame, name: str, bits=None) -> DataFrame:
-    """For each window of each text: its id, how many windows the text has, place, hash, slot values."""
+    """For each window of each text: its id and text hash, how many windows the text has, place, hash, slot values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
             yield _window_rows(batch, name, bits.value if bits else None)
 
     kind = texts.schema[name].dataType.simpleString()
-    return texts.select(name, "text").where(F.col(name).isNotNull()).mapInArrow(run, f"{name} {kind}, size long, place long, gram long, slots array<long>")
-
-
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """The windows of the items; the first one also as it reads inside a line, where a capital may make a name."""
-    inside = template_windows(benchmark.withColumn("text", F.concat(F.lit("x "), "text")), "item_id")
-    inside = inside.where("place = 1").select("item_id", F.col("size") - 1, F.lit(0).cast("long"), "gram", "slots")
-    return template_windows(benchmark, "item_id").union(inside).distinct()
+    rows = texts.where(F.col(name).isNotNull()).select(name, "text", F.xxhash64("text").alias("row"))
+    return rows.mapInArrow(run, f"{name} {kind}, row long, size long, place long, gram long, slots array<long>")
 
 
 def bit_map(windows: DataFrame) -> np.ndarray:
@@ -220,25 +214,132 @@ def bit_map(windows: DataFrame) -> np.ndarray:
     return bits
 
 
+def _chain(at: np.ndarray, place: np.ndarray, size: int, gap: int) -> np.ndarray:
+    """Numbers of the hits in a longest passage: place and ``at`` rise, ``at`` by at most ``gap`` from one to the next.
+
+    Hits are sorted by (at, place).  Of equally long passages the nearer one is continued.
+    """
+    length, last, ends = np.zeros(size, np.int64), np.full(size, -gap - 1, np.int64), np.full(size, -1, np.int64)
+    back = np.full(len(at), -1, np.int64)
+    best, best_end = 0, -1
+    scale = int(at[-1]) + 2
+    first = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at)).tolist()
+    for lo, hi in zip(first, first[1:], strict=False):
+        here, new = int(at[lo]), []
+        score = np.where(last >= here - gap, length * scale + last, -1)
+        for k in range(lo, hi):
+            p, n = int(place[k]), 1
+            if p:
+                q = int(np.argmax(score[:p]))
+                if score[q] > 0:
+                    n, back[k] = int(length[q]) + 1, ends[q]
+            new.append((p, n, k))
+        for p, n, k in new:
+            if n >= length[p] or last[p] < here - gap:
+                length[p], last[p], ends[p] = n, here, k
+            if n > best:
+                best, best_end = n, k
+    out = []
+    while best_end >= 0:
+        out.append(best_end)
+        best_end = int(back[best_end])
+    return np.array(out[::-1], np.int64)
+
+
+def _agreeing(place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Which hits fill the item's slots as most windows of the chain do; windows word for word always do."""
+    same = (theirs == ours).all(axis=1)
+    votes: dict[int, dict[int, int]] = {}
+    for t, o in zip(theirs[chain].reshape(-1).tolist(), ours[chain].reshape(-1).tolist(), strict=True):
+        if t:
+            votes.setdefault(t, {})[o] = votes.get(t, {}).get(o, 0) + 1
+    filling = {t: max(found, key=found.get) for t, found in votes.items()}
+    changed = np.flatnonzero(~same)
+    agree = same.copy()
+    agree[changed] = [all(not t or filling.get(t, o) == o for t, o in zip(ts, os, strict=True)) for ts, os in zip(theirs[changed].tolist(), ours[changed].tolist(), strict=True)]
+    return agree
+
+
+def _passage(at: np.ndarray, place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, size: int, share: float) -> tuple[int, bool] | None:
+    """How many windows of an item the text holds in one passage, and whether a slot is filled anew; None if too few."""
+    gap, need = size + WINDOW - 1, share * size
+    order = np.lexsort(((theirs != ours).sum(axis=1), place, at))
+    at, place, theirs, ours = at[order], place[order], theirs[order], ours[order]
+    once = np.append(True, (at[1:] != at[:-1]) | (place[1:] != place[:-1]))
+    at, place, theirs, ours = at[once], place[once], theirs[once], ours[once]
+    best = None
+    cuts = np.append(0, np.append(np.flatnonzero(np.diff(at) > gap) + 1, len(at)))
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        left = np.arange(lo, hi)
+        same = (theirs[left] == ours[left]).all(axis=1)
+        if len(np.unique(place[left][same])) >= need:
+            found = len(_chain(at[left][same], place[left][same], size, gap))
+            if found >= need and (best is None or (found, False) >= (best[0], best[1])):
+                best = (found, False)
+        while len(np.unique(place[left])) >= need:  # each round tries one filling of the slots and takes its changed windows away
+            a, p, t, o = at[left], place[left], theirs[left], ours[left]
+            agree = np.flatnonzero(_agreeing(p, t, o, _chain(a, p, size, gap)))
+            tried = agree[_chain(a[agree], p[agree], size, gap)] if len(agree) else agree
+            anew = (t[tried] != o[tried]).any(axis=1)
+            if len(tried) >= need:
+                if best is None or len(tried) > best[0]:
+                    best = (len(tried), bool(anew.any()) and (best is None or best[1]))
+                break
+            if not anew.any():
+                break
+            left = np.delete(left, tried[anew])
+    return best
+
+
+def _judged(batches: Iterator[pa.RecordBatch], names: list[str], share: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document and item: for each pair that holds a passage, ids, share and changed."""
+    def judge(group: pa.Table) -> tuple | None:
+        n, size = group.num_rows, group.column("size")[0].as_py()
+        place = group.column("place").to_numpy()
+        if len(np.unique(place)) < share * size:
+            return None
+        slots = [group.column(c).combine_chunks().flatten().to_numpy().reshape(n, WINDOW) for c in ("theirs", "ours")]
+        found = _passage(group.column("at").to_numpy(), place, *slots, size, share)
+        return found and (group.column("doc_id")[0], group.column("item_id")[0], found[0] / size, found[1])
+
+    def rows(found: list, schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        kinds = [schema.field("doc_id").type, schema.field("item_id").type, pa.float64(), pa.bool_()]
+        values = [[x.as_py() if isinstance(x, pa.Scalar) else x for x in c] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "item_id", "share", "changed"])
+
+    held, key, schema = [], None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        schema, out = batch.schema, []
+        columns = [batch.column(n) for n in names]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            mine = [c[lo].as_py() for c in columns]
+            if held and mine != key:
+                out.append(judge(pa.Table.from_batches(held)))
+                held = []
+            key = mine
+            held.append(batch.slice(lo, hi - lo))
+        yield rows([x for x in out if x], schema)
+    if held:
+        yield rows([x for x in [judge(pa.Table.from_batches(held))] if x], schema)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, share of the item's windows found, changed (some slot value is another one)."""
-    items = item_windows(benchmark)
+    items = template_windows(benchmark, "item_id").withColumnRenamed("slots", "theirs").withColumnRenamed("row", "item")
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(items))
-    here = template_windows(docs, "doc_id", bits).select("doc_id", F.col("place").alias("at"), "gram", F.col("slots").alias("ours"))
-    hits = here.join(items.withColumnRenamed("slots", "theirs"), "gram")
-    # (document, item, diagonal, place) fixes a window, so a group holds an item's windows at most.
-    lines = hits.groupBy("doc_id", "item_id", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.collect_set(F.arrays_zip("theirs", "ours")).alias("pairs"))
-    pairs = F.array_distinct(F.filter(F.flatten("pairs"), lambda p: p["theirs"] != 0))
-    lines = lines.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.theirs"))))
-    lines = lines.withColumn("changed", F.exists("pairs", lambda p: p["theirs"] != p["ours"])).drop("pairs")
-    span = F.lit(2 * DRIFT)  # two tilings: diagonals up to DRIFT apart share a tile of one of them
-    tiles = F.array(F.struct(F.lit(0).alias("k"), F.floor(F.col("diagonal") / span).alias("tile")),
-                    F.struct(F.lit(1).alias("k"), F.floor((F.col("diagonal") + DRIFT) / span).alias("tile")))
-    passages = lines.withColumn("tile", F.explode(tiles)).groupBy("doc_id", "item_id", "size", "tile").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.max("changed").alias("changed"))
-    return passages.where(F.col("found") >= F.lit(share) * F.col("size")).groupBy("doc_id", "item_id").agg(
-        F.max(F.col("found") / F.col("size")).alias("share"), F.min("changed").alias("changed"))
+    here = template_windows(docs, "doc_id", bits).select("doc_id", "row", F.col("place").alias("at"), "gram", F.col("slots").alias("ours"))
+    names = ["doc_id", "row", "item_id", "item"]
+    hits = here.join(items, "gram").drop("gram").repartition(*names).sortWithinPartitions(*names)
+    kinds = ", ".join(f"{n} {hits.schema[n].dataType.simpleString()}" for n in ("doc_id", "item_id"))
+    passages = hits.mapInArrow(lambda batches: _judged(batches, names, share), f"{kinds}, share double, changed boolean")
+    return passages.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.min("changed").alias("changed"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -53,6 +53,21 @@ def test_passage_inside_other_text_and_edited(spark):
     assert set(got) == {(0, 0), (1, 0)} and got[0, 0] == (1.0, False) and got[1, 0][0] >= 0.9
 
 
+def test_words_put_in_at_the_middle(spark):
+    random.seed(10)
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    noise = [f"z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    texts = [" ".join(noise[:shift] + item[:30] + noise[-n:] + item[30:]) for n in (1, 5, 6, 7, 10, 25) for shift in range(8)]
+    got = found(spark, texts, [" ".join(item)])
+    assert got == {(k, 0): (round(52 / 56, 3), False) for k in range(len(texts))}
+
+
+def test_parts_out_of_order_or_far_apart_are_no_passage(spark):
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    noise = [f"z{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    assert found(spark, [" ".join(item[30:] + item[:30]), " ".join(item[:30] + noise + item[30:])], [" ".join(item)]) == {}
+
+
 def test_clean_documents_stay(spark):
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
