@@ -15,8 +15,8 @@ benchmark's hashes, lets through the few windows that can join; the join itself
 left to Spark, however large the benchmark is.
 
 Defined cases: null or empty texts match nothing; items with fewer tokens than a window
-match nothing; equal items each get their rows; rows that repeat a doc_id count as one
-document; null ids take part in nothing; an empty table gives an empty result; further
+match nothing; equal items each get their rows; rows that repeat an id are judged one by one
+and reported once; null ids take part in nothing; an empty table gives an empty result; further
 columns are not read.
 """
 
@@ -51,6 +51,8 @@ _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(%|[a-z°]{1,3})?")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ENDS = (".", "!", "?", ":")
 _NUM, _NAME, _UNIT = "\x01num", "\x01name", "\x01unit"
+#: The bit of a slot value that tells numbers from names and units.
+_IS_NUM = 2
 
 
 def _is_number(word: str) -> bool:
@@ -185,6 +187,7 @@ def _window_rows(batch: pa.RecordBatch, name: str, bits: np.ndarray | None = Non
         marked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         pick = np.flatnonzero(marked)
         row, places, grams = row[pick], places[pick], grams[pick]
+    slots = np.where(codes == np.uint64(_hash(_NUM)), slots | np.uint64(_IS_NUM), slots & ~np.uint64(_IS_NUM))
     filled = slots[places[:, None] + np.arange(WINDOW)].view(np.int64).reshape(-1)
     return pa.RecordBatch.from_arrays(
         [batch.column(name).take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(size[row]), pa.array(places - first[row]), pa.array(grams.view(np.int64)),
@@ -247,8 +250,13 @@ def _chain(at: np.ndarray, place: np.ndarray, size: int, gap: int) -> np.ndarray
 
 
 def _agreeing(place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, chain: np.ndarray) -> np.ndarray:
-    """Which hits fill the item's slots as most windows of the chain do; windows word for word always do."""
+    """Which hits fill the item's slots as most windows of the chain do; windows word for word always do.
+
+    A name or unit is one slot wherever it stands; a number is a slot of its own at each place, as
+    two quantities of an item may be equal by chance.
+    """
     same = (theirs == ours).all(axis=1)
+    theirs = np.where((theirs & _IS_NUM) != 0, place[:, None] + np.arange(1, WINDOW + 1), theirs)
     votes: dict[int, dict[int, int]] = {}
     for t, o in zip(theirs[chain].reshape(-1).tolist(), ours[chain].reshape(-1).tolist(), strict=True):
         if t:

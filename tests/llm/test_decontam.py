@@ -68,6 +68,35 @@ def test_parts_out_of_order_or_far_apart_are_no_passage(spark):
     assert found(spark, [" ".join(item[30:] + item[:30]), " ".join(item[:30] + noise + item[30:])], [" ".join(item)]) == {}
 
 
+PENS = "Sam sells 3 pens to each child of the large school and then rests for 3 days under the old tree"
+
+
+def test_one_conflicting_slot_takes_its_own_windows_only(spark):
+    one = PENS.replace("3 days", "4 days")
+    both = PENS.replace("3 pens", "4 pens").replace("3 days", "5 days")
+    assert found(spark, [one, both], [PENS]) == {(0, 0): (1.0, True), (1, 0): (1.0, True)}
+    # A unit that became two others costs the windows of the rarer one; the rest is enough in a long item.
+    long = f"{ITEM} {' '.join(WORDS)}"
+    mixed = f"{MIXED} {' '.join(WORDS)}"
+    assert found(spark, [mixed], [long]) == {(0, 0): (round(1 - 5 / 43, 3), True)}
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    other = OTHER.replace("95", "96").replace("7 am", "6 am").replace("Dublin", "Cork")
+    got = decontam.leaks(docs(spark, [OTHER, other, "clean text"], [7, 7, 7]), items(spark, [ITEM])).collect()
+    assert [(r["doc_id"], r["item_id"], r["share"], r["changed"]) for r in got] == [(7, 0, 1.0, True)]
+    twice = spark.createDataFrame([(1, ITEM), (1, PENS)], "item_id long, text string")
+    assert decontam.leaks(docs(spark, [PENS]), twice).count() == 1
+
+
+def test_copies_with_other_numbers_one_after_the_other(spark):
+    first, second = OTHER.replace("km", "ft"), OTHER.replace("Peter", "Paul").replace("Dublin", "Cork")
+    cut, words = first.split(), second.split()
+    assert found(spark, [f"{OTHER} {first} {second}", " ".join(cut[:-3] + words[3:])], [ITEM])[0, 0] == (1.0, True)
+    verbatim = found(spark, [f"{OTHER} {ITEM}"], [ITEM])
+    assert verbatim == {(0, 0): (1.0, False)}
+
+
 def test_clean_documents_stay(spark):
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
