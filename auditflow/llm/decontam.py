@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Texts become templates: numbers, names and units are replaced by typed placeholders, all
-else is lower-cased and freed of outer signs.  Windows of five template tokens are hashed
+else is lower-cased and freed of outer signs.  A run of names is one name.  A capital that opens
+a sentence may make a name or not, so both readings are taken.  Windows of five template tokens are hashed
 and joined with the benchmark's windows.  The hits of one text and item are chained to a
 passage: places in the text and in the item rise together, and no two neighbours lie further
 apart than the item is long, so words may be put in or left out anywhere.  The hits of a
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +77,18 @@ def token(word: str, before: str | None) -> tuple[str, str]:
 
 
 def tokens(text: str | None) -> list[tuple[str, str]]:
-    """(template token, slot value) of each word that has one."""
+    """(template token, slot value) of each word that has one, a run of names as one; sentences start in lower case."""
     out = []
     for line in (text or "").split("\n"):
-        before = None
+        before, open_end = None, False
         for word in _WORD.findall(line):
-            out.append(token(word, before))
-            before = word
-    return [t for t in out if t[0]]
+            found, slot = token(word, before)
+            if found == _NAME and open_end and word[0] not in OUTER:
+                out[-1] = (_NAME, f"{out[-1][1]} {slot}")
+            elif found:
+                out.append((found, slot))
+            before, open_end = word, found == _NAME and word[-1] not in OUTER
+    return out
 
 
 def _table(signs: str) -> np.ndarray:
@@ -108,8 +114,29 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+class Readings(NamedTuple):
+    """Tokens of a column as hashes (slot 0: none), and the first place of each row.
+
+    A capital that opens a sentence is read in two ways: ``codes`` has the word, ``other`` the
+    places that may be names instead, ``named`` their slots; ``tied`` are names that such a
+    name takes in.
+    """
+
+    codes: np.ndarray
+    slots: np.ndarray
+    first: np.ndarray
+    other: np.ndarray
+    named: np.ndarray
+    tied: np.ndarray
+
+
 def template_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``tokens`` of a whole column as hashes (slot 0: none), and the first place of each row.
+    """``tokens`` of a whole column as hashes (slot 0: none), and the first place of each row."""
+    return readings(column)[:3]
+
+
+def readings(column: pa.Array) -> Readings:
+    """Both readings of a whole column.
 
     Words of ASCII and Latin-1 letters are handled as arrays; words with digits or other
     characters, and words behind a digit, one by one, once for each distinct case.
@@ -118,7 +145,7 @@ def template_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts, ends, first = T.words(data, offsets)
     n = len(starts)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
+        return Readings(np.zeros(0, np.uint64), np.zeros(0, np.uint64), first, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
     second = np.zeros(len(data), bool)  # the second bytes of Latin-1 letters
     second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)
     sign = (data == 0x97) | (data == 0xB7)
@@ -141,11 +168,14 @@ def template_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     opened[1:] |= _END[data[ends[:-1] - 1]]
     head = np.minimum(left, len(data) - 1)
     upper = capital[head] | ((data[head] == 0xC3) & capital[np.minimum(head + 1, len(data) - 1)])
-    name = some & upper & (small[right] > small[left]) & ~opened
+    name = some & upper & (small[right] > small[left])
     at = np.searchsorted(_FREE, codes)
     at[at == len(_FREE)] = 0
     unit = some & (_FREE[at] == codes)
     name &= ~unit
+    maybe = name & opened
+    name &= ~opened
+    slots[maybe] = codes[maybe] | np.uint64(1)  # until the readings part
     for placeholder, those in ((_NAME, name), (_UNIT, unit)):
         slots[those] = codes[those] | np.uint64(1)
         codes[those] = np.uint64(_hash(placeholder))
@@ -170,41 +200,116 @@ def template_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
         got = seen.get((word, told))
         if got is None:
             t, slot = token(word.decode(), told)
-            got = seen[word, told] = (_hash(t) if t else 0, _hash(slot) | 1 if slot else 0, bool(t))
-        codes[k], slots[k], keep[k] = got
+            inside, low = token(word.decode(), "x") if t and not slot else ("", "")
+            own = inside == _NAME
+            got = seen[word, told] = (_hash(t) if t else 0, _hash(low if own else slot) | 1 if own or slot else 0, bool(t), t == _NAME, own)
+        codes[k], slots[k], keep[k], name[k], maybe[k] = got
+    # A name that follows another without a sign between them is part of it.
+    joins = np.zeros(n, bool)
+    joins[1:] = name[1:] & (name | maybe)[:-1] & (right == ends)[:-1] & (left == starts)[1:]
+    inner = joins.copy()  # words behind the first of a run of names
+    inner[1:] &= name[:-1]
+    tied = joins & ~inner
+    plain = ~special
+    plain[1:] &= (starts[1:] - ends[:-1] == 1) & (data[ends[:-1]] == 0x20)
+    bounds = np.flatnonzero(~inner)
+    last = np.empty(n, np.int64)  # the last word of the run that starts here
+    last[bounds] = np.append(bounds[1:], n) - 1
+    rough = _sums(~plain | special)
+    odd = _sums(special)
+
+    def fill(heads: np.ndarray, tails: np.ndarray) -> None:
+        slots[heads] = T.word_hashes(lowered, left[heads], right[tails]) | np.uint64(1)
+        bad = (rough[tails + 1] > rough[heads + 1]) | (odd[heads + 1] > odd[heads])
+        for k, e in zip(heads[bad].tolist(), tails[bad].tolist(), strict=True):
+            slots[k] = np.uint64(_hash(" ".join(raw[left[j] : right[j]].decode().lower() for j in range(k, e + 1))) | 1)
+
+    heads = np.flatnonzero(name & ~inner)
+    heads = heads[last[heads] > heads]
+    fill(heads, last[heads])
+    heads = np.flatnonzero(tied) - 1
+    fill(heads, last[heads + 1])
+    keep &= ~inner
     kept = np.flatnonzero(keep)
-    return codes[kept], slots[kept], np.searchsorted(kept, first)
+    other = np.flatnonzero(maybe[kept])
+    named = slots[kept[other]]
+    slots[maybe] = 0
+    return Readings(codes[kept], slots[kept], np.searchsorted(kept, first), other, named, tied[kept])
+
+
+def _other_windows(found: Readings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that read a sentence's first word as a name at least once: place, hash, and the places of their
+    tokens (those of such names counted on behind the text's)."""
+    m = len(found.codes)
+    if not len(found.other):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW), np.int64)
+    rank = np.full(m + 1, -1, np.int64)
+    rank[found.other] = np.arange(len(found.other))
+    ends = np.repeat(found.first[1:], np.diff(found.first))
+    place = np.unique((found.other[:, None] - np.arange(WINDOW)).reshape(-1))
+    place = place[place >= 0]
+    tied = np.append(found.tied, [False, False])
+    at, total, used, path = place, np.zeros(len(place), np.uint64), np.zeros(len(place), bool), np.zeros((len(place), WINDOW), np.int64)
+    for k in range(WINDOW):
+        inside = at < ends[place]
+        place, at, total, used, path = place[inside], at[inside], total[inside], used[inside], path[inside]
+        name = np.flatnonzero(rank[at] >= 0)
+        path, named = path.copy(), path[name]
+        path[:, k], named[:, k] = at, m + rank[at[name]]
+        read = T.mixed(total * T._ODD + found.codes[at])
+        as_name = T.mixed(total[name] * T._ODD + np.uint64(_hash(_NAME)))
+        place, total, used, path = (np.concatenate(x) for x in ((place, place[name]), (read, as_name), (used, np.ones(len(name), bool)), (path, named)))
+        at = np.concatenate([at + 1, at[name] + 1 + tied[at[name] + 1]])
+    return place[used], total[used], path[used]
 
 
 def _window_rows(batch: pa.RecordBatch, name: str, bits: np.ndarray | None = None) -> pa.RecordBatch:
     """The windows of a batch of texts; with ``bits`` those alone whose hash prefix is marked there."""
-    codes, slots, first = template_words(batch.column("text"))
+    found = readings(batch.column("text"))
+    codes, first, m = found.codes, found.first, len(found.codes)
     places, grams = T.windows(codes, first, WINDOW)
-    row = T.row_of(first)[places]
-    size = np.bincount(row, minlength=len(first) - 1)
+    others, other_grams, path = _other_windows(found)
+    paths = np.concatenate([np.full((len(places), WINDOW), -1), path])
+    paths[: len(places)] = places[:, None] + np.arange(WINDOW)
+    places, grams = np.concatenate([places, others]), np.concatenate([grams, other_grams])
     if bits is not None:
         at = grams >> np.uint64(64 - MAP_BITS)
         marked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         pick = np.flatnonzero(marked)
-        row, places, grams = row[pick], places[pick], grams[pick]
-    slots = np.where(codes == np.uint64(_hash(_NUM)), slots | np.uint64(_IS_NUM), slots & ~np.uint64(_IS_NUM))
-    filled = slots[places[:, None] + np.arange(WINDOW)].view(np.int64).reshape(-1)
+        places, grams, paths = places[pick], grams[pick], paths[pick]
+    # A name that another reading takes in has no place of its own.
+    spot = np.arange(m) - _sums(found.tied)[1:]
+    begin = first[:-1]
+    spots = T.row_sums(~found.tied, first)
+    size = np.maximum(spots - WINDOW + 1, np.minimum(np.diff(first) - WINDOW + 1, 1))
+    row = T.row_of(first)[places]
+    if bits is None:
+        counted = np.flatnonzero(~found.tied[places] & (spot[places] - spot[begin[row]] < size[row]))
+        row, places, grams, paths = row[counted], places[counted], grams[counted], paths[counted]
+    numbers = codes == np.uint64(_hash(_NUM))
+    slots = np.where(numbers, found.slots | np.uint64(_IS_NUM), found.slots & ~np.uint64(_IS_NUM))
+    slots = np.concatenate([slots, found.named & ~np.uint64(_IS_NUM)])
+    spot = np.concatenate([spot, spot[found.other]])
+    rows = pa.array(np.arange(len(row) + 1, dtype=np.int32) * WINDOW)
+    place = places - begin[row] if bits is not None else spot[places] - spot[begin[row]]
     return pa.RecordBatch.from_arrays(
-        [batch.column(name).take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(size[row]), pa.array(places - first[row]), pa.array(grams.view(np.int64)),
-         pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * WINDOW), pa.array(filled))],
-        [name, "row", "size", "place", "gram", "slots"],
+        [batch.column(name).take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(size[row]), pa.array(place), pa.array(grams.view(np.int64)),
+         pa.ListArray.from_arrays(rows, pa.array(slots[paths].view(np.int64).reshape(-1))),
+         pa.ListArray.from_arrays(rows, pa.array((spot[paths] - spot[begin[row]][:, None]).reshape(-1)))],
+        [name, "row", "size", "place", "gram", "slots", "spots"],
     )
 
 
 def template_windows(texts: DataFrame, name: str, bits=None) -> DataFrame:
-    """For each window of each text: its id and text hash, how many windows the text has, place, hash, slot values."""
+    """For each window of each text: its id and text hash, how many windows the text has, place, hash, slot values
+    and places.  Without ``bits`` places leave out names that another reading takes in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
             yield _window_rows(batch, name, bits.value if bits else None)
 
     kind = texts.schema[name].dataType.simpleString()
     rows = texts.where(F.col(name).isNotNull()).select(name, "text", F.xxhash64("text").alias("row"))
-    return rows.mapInArrow(run, f"{name} {kind}, row long, size long, place long, gram long, slots array<long>")
+    return rows.mapInArrow(run, f"{name} {kind}, row long, size long, place long, gram long, slots array<long>, spots array<long>")
 
 
 def bit_map(windows: DataFrame) -> np.ndarray:
@@ -249,14 +354,14 @@ def _chain(at: np.ndarray, place: np.ndarray, size: int, gap: int) -> np.ndarray
     return np.array(out[::-1], np.int64)
 
 
-def _agreeing(place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, chain: np.ndarray) -> np.ndarray:
+def _agreeing(spots: np.ndarray, theirs: np.ndarray, ours: np.ndarray, chain: np.ndarray) -> np.ndarray:
     """Which hits fill the item's slots as most windows of the chain do; windows word for word always do.
 
     A name or unit is one slot wherever it stands; a number is a slot of its own at each place, as
     two quantities of an item may be equal by chance.
     """
     same = (theirs == ours).all(axis=1)
-    theirs = np.where((theirs & _IS_NUM) != 0, place[:, None] + np.arange(1, WINDOW + 1), theirs)
+    theirs = np.where((theirs & _IS_NUM) != 0, spots + 1, theirs)
     votes: dict[int, dict[int, int]] = {}
     for t, o in zip(theirs[chain].reshape(-1).tolist(), ours[chain].reshape(-1).tolist(), strict=True):
         if t:
@@ -268,13 +373,13 @@ def _agreeing(place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, chain: np
     return agree
 
 
-def _passage(at: np.ndarray, place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, size: int, share: float) -> tuple[int, bool] | None:
+def _passage(at: np.ndarray, place: np.ndarray, theirs: np.ndarray, ours: np.ndarray, spots: np.ndarray, size: int, share: float) -> tuple[int, bool] | None:
     """How many windows of an item the text holds in one passage, and whether a slot is filled anew; None if too few."""
     gap, need = size + WINDOW - 1, share * size
     order = np.lexsort(((theirs != ours).sum(axis=1), place, at))
-    at, place, theirs, ours = at[order], place[order], theirs[order], ours[order]
+    at, place, theirs, ours, spots = at[order], place[order], theirs[order], ours[order], spots[order]
     once = np.append(True, (at[1:] != at[:-1]) | (place[1:] != place[:-1]))
-    at, place, theirs, ours = at[once], place[once], theirs[once], ours[once]
+    at, place, theirs, ours, spots = at[once], place[once], theirs[once], ours[once], spots[once]
     best = None
     cuts = np.append(0, np.append(np.flatnonzero(np.diff(at) > gap) + 1, len(at)))
     for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -286,7 +391,7 @@ def _passage(at: np.ndarray, place: np.ndarray, theirs: np.ndarray, ours: np.nda
                 best = (found, False)
         while len(np.unique(place[left])) >= need:  # each round tries one filling of the slots and takes its changed windows away
             a, p, t, o = at[left], place[left], theirs[left], ours[left]
-            agree = np.flatnonzero(_agreeing(p, t, o, _chain(a, p, size, gap)))
+            agree = np.flatnonzero(_agreeing(spots[left], t, o, _chain(a, p, size, gap)))
             tried = agree[_chain(a[agree], p[agree], size, gap)] if len(agree) else agree
             anew = (t[tried] != o[tried]).any(axis=1)
             if len(tried) >= need:
@@ -306,7 +411,7 @@ def _judged(batches: Iterator[pa.RecordBatch], names: list[str], share: float) -
         place = group.column("place").to_numpy()
         if len(np.unique(place)) < share * size:
             return None
-        slots = [group.column(c).combine_chunks().flatten().to_numpy().reshape(n, WINDOW) for c in ("theirs", "ours")]
+        slots = [group.column(c).combine_chunks().flatten().to_numpy().reshape(n, WINDOW) for c in ("theirs", "ours", "spots")]
         found = _passage(group.column("at").to_numpy(), place, *slots, size, share)
         return found and (group.column("doc_id")[0], group.column("item_id")[0], found[0] / size, found[1])
 

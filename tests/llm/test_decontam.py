@@ -97,6 +97,24 @@ def test_copies_with_other_numbers_one_after_the_other(spark):
     assert verbatim == {(0, 0): (1.0, False)}
 
 
+def test_names_that_open_sentences_and_names_of_other_lengths(spark):
+    story = ("Tom buys {a} red apples at the market near the old bridge. {n} eats two of them on the way home. "
+             "{m} gives {b} of the others to a friend from {c} who likes them a lot. How many red apples are left?")
+    item = story.format(a=9, b=3, n="Tom", m="Tom", c="Boston")
+    texts = [story.replace("Tom", "Ann").format(a=8, b=2, n="Ann", m="Ann", c="New York"),
+             story.replace("Tom", "Mary Ann").format(a=8, b=2, n="Mary Ann", m="Mary Ann", c="Los Angeles"),
+             "As we know " + story.format(a=9, b=3, n="Tom", m="Tom", c="Boston")]
+    got = found(spark, texts, [item])
+    assert got == {(0, 0): (1.0, True), (1, 0): (1.0, True), (2, 0): (1.0, False)}
+    assert set(found(spark, [item, texts[0]], [texts[1]])) == {(0, 0), (1, 0)}
+
+
+def test_both_readings_of_short_texts():
+    for text, other, tied in (("Mary Ann buys", [0], [1]), ("So. Tom buys. Ann", [0, 1, 3], []), ("I am. É", [], []), ("So Éa. Été Łódź x", [0, 2], [1, 3])):
+        got = decontam.readings(pa.array([text]))
+        assert got.other.tolist() == other and [k for k, t in enumerate(got.tied) if t] == tied, text
+
+
 def test_clean_documents_stay(spark):
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
