@@ -17,8 +17,8 @@ left to Spark, however large the benchmark is.
 
 Defined cases: null or empty texts match nothing; items with fewer tokens than a window
 match nothing; equal items each get their rows; rows that repeat an id are judged one by one
-and reported once; null ids take part in nothing; an empty table gives an empty result; further
-columns are not read.
+and reported once; null ids are not reported, but ``clean`` judges rows without a doc_id too;
+an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -308,7 +308,7 @@ def template_windows(texts: DataFrame, name: str, bits=None) -> DataFrame:
             yield _window_rows(batch, name, bits.value if bits else None)
 
     kind = texts.schema[name].dataType.simpleString()
-    rows = texts.where(F.col(name).isNotNull()).select(name, "text", F.xxhash64("text").alias("row"))
+    rows = texts.select(name, "text", F.xxhash64("text").alias("row"))
     return rows.mapInArrow(run, f"{name} {kind}, row long, size long, place long, gram long, slots array<long>, spots array<long>")
 
 
@@ -405,7 +405,7 @@ def _passage(at: np.ndarray, place: np.ndarray, theirs: np.ndarray, ours: np.nda
 
 
 def _judged(batches: Iterator[pa.RecordBatch], names: list[str], share: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document and item: for each pair that holds a passage, ids, share and changed."""
+    """Rows sorted by document and item: for each pair that holds a passage, its ids, row key, share and changed."""
     def judge(group: pa.Table) -> tuple | None:
         n, size = group.num_rows, group.column("size")[0].as_py()
         place = group.column("place").to_numpy()
@@ -413,13 +413,13 @@ def _judged(batches: Iterator[pa.RecordBatch], names: list[str], share: float) -
             return None
         slots = [group.column(c).combine_chunks().flatten().to_numpy().reshape(n, WINDOW) for c in ("theirs", "ours", "spots")]
         found = _passage(group.column("at").to_numpy(), place, *slots, size, share)
-        return found and (group.column("doc_id")[0], group.column("item_id")[0], found[0] / size, found[1])
+        return found and (group.column("doc_id")[0], group.column("row")[0], group.column("item_id")[0], found[0] / size, found[1])
 
     def rows(found: list, schema: pa.Schema) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [[]] * 4
-        kinds = [schema.field("doc_id").type, schema.field("item_id").type, pa.float64(), pa.bool_()]
+        columns = list(zip(*found, strict=True)) or [[]] * 5
+        kinds = [schema.field("doc_id").type, pa.int64(), schema.field("item_id").type, pa.float64(), pa.bool_()]
         values = [[x.as_py() if isinstance(x, pa.Scalar) else x for x in c] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "item_id", "share", "changed"])
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["doc_id", "row", "item_id", "share", "changed"])
 
     held, key, schema = [], None, None
     for batch in batches:
@@ -429,7 +429,8 @@ def _judged(batches: Iterator[pa.RecordBatch], names: list[str], share: float) -
         columns = [batch.column(n) for n in names]
         new = np.zeros(batch.num_rows, bool)
         for c in columns:
-            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            differ = pc.or_(pc.fill_null(pc.not_equal(c[1:], c[:-1]), False), pc.xor(pc.is_null(c[1:]), pc.is_null(c[:-1])))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
         cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             mine = [c[lo].as_py() for c in columns]
@@ -443,19 +444,24 @@ def _judged(batches: Iterator[pa.RecordBatch], names: list[str], share: float) -
         yield rows([x for x in [judge(pa.Table.from_batches(held))] if x], schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, share of the item's windows found, changed (some slot value is another one)."""
-    items = template_windows(benchmark, "item_id").withColumnRenamed("slots", "theirs").withColumnRenamed("row", "item")
+def leaked_rows(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, row (a hash of the text), item_id, share and changed of each row and item."""
+    items = template_windows(benchmark.where(F.col("item_id").isNotNull()), "item_id").withColumnRenamed("slots", "theirs").withColumnRenamed("row", "item")
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(items))
     here = template_windows(docs, "doc_id", bits).select("doc_id", "row", F.col("place").alias("at"), "gram", F.col("slots").alias("ours"))
     names = ["doc_id", "row", "item_id", "item"]
     hits = here.join(items, "gram").drop("gram").repartition(*names).sortWithinPartitions(*names)
-    kinds = ", ".join(f"{n} {hits.schema[n].dataType.simpleString()}" for n in ("doc_id", "item_id"))
-    passages = hits.mapInArrow(lambda batches: _judged(batches, names, share), f"{kinds}, share double, changed boolean")
+    kinds = [f"{n} {hits.schema[n].dataType.simpleString()}" for n in names[:3]]
+    return hits.mapInArrow(lambda batches: _judged(batches, names, share), f"{', '.join(kinds)}, share double, changed boolean")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, share of the item's windows found, changed (some slot value is another one)."""
+    passages = leaked_rows(docs.where(F.col("doc_id").isNotNull()), benchmark, share)
     return passages.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.min("changed").alias("changed"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents, with all their columns, into which no item has leaked."""
-    found = leaks(docs, benchmark, share).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows, with all their columns, into which no item has leaked; rows without a doc_id, or that share one, each by its own text."""
+    found = leaked_rows(docs, benchmark, share).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row")), "left_anti")

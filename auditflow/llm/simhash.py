@@ -68,15 +68,22 @@ def fingerprints(column: pa.Array, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprinted(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every whole text."""
+def fingerprinted(docs: DataFrame, size: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every whole text; with ``digests`` also the text's digest."""
+    own = ["doc_id", "digest"] if digests else ["doc_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
             fp = fingerprints(batch.column("text"), size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(fp)], [*own, "fp"])
+
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{', digest string' if digests else ''}"
+    rows = docs.select("doc_id", "text", *([_digest().alias("digest")] if digests else []))
+    return rows.mapInArrow(run, f"{kinds}, fp long")
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+def _digest():
+    return F.sha2(F.col("text").cast("binary"), 256)
 
 
 def blocks(budget: int) -> list[tuple[int, int]]:
@@ -220,28 +227,39 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _rooted(fps: DataFrame, budget: int, split_rows: int) -> DataFrame:
+    """``fps`` (distinct fp, least) with root, the smallest fingerprint of the component."""
+    parents = components(links(fps.select("fp"), budget, split_rows))
+    return lineage.cut(fps.join(parents, F.col("fp") == F.col("a"), "left").select("fp", F.coalesce("b", "fp").alias("root"), "least"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE, split_rows: int = 2000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     prints = lineage.cut(fingerprinted(docs, size))
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parents = components(links(fps.select("fp"), budget, split_rows))
-    named = fps.join(parents, F.col("fp") == F.col("a"), "left").select("fp", F.coalesce("b", "fp").alias("root"), "least")
-    named = lineage.cut(named)
+    named = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), budget, split_rows)
     tops = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("top"), "component_id")
     by_fp = named.join(tops, F.col("root") == F.col("top")).select(F.col("fp").alias("print"), "component_id")
     return prints.join(by_fp, F.col("fp") == F.col("print")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
-    """One whole document of each component, with the columns of ``docs``: the one with the smallest doc_id.
+def representatives(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE, split_rows: int = 2000) -> DataFrame:
+    """One whole row of each component, with the columns of ``docs``: the smallest by doc_id, null ids last, then by the text's digest.
 
-    Where several rows share that doc_id one of them stays.  Rows without a doc_id stay as
-    they are only if no row of their component has one; then one of them stays.
+    Rows are told apart by doc_id and digest, so rows that share an id, or have none, stand for
+    their own components; of rows equal in both one stays.
     """
-    found = lineage.cut(near_duplicates(docs, budget, size))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    once = kept.where("__rows = 1").drop("__rows")
-    return once.union(kept.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"]))
+    rows = lineage.cut(fingerprinted(docs, size, digests=True)).groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n"))
+    fps = lineage.cut(rows.groupBy("fp").agg(least.alias("least")))
+    stay = _rooted(fps, budget, split_rows).groupBy("root").agg(F.min("least").alias("least"))
+    stay = stay.select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest"), F.col("least.n").alias("__rows"))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & _digest().eqNullSafe(F.col("__digest")))
+    once = kept.where("__rows = 1").select(docs.columns)
+    return once.union(kept.where("__rows > 1").dropDuplicates(["__id", "__digest"]).select(docs.columns))
+
+
+def survivors(docs: DataFrame, budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
+    """``representatives``, for tables in which a doc_id names one document: of those that share an id one stays."""
+    kept = representatives(docs, budget, size)
+    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

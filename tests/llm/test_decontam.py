@@ -150,6 +150,13 @@ def test_cases(spark):
     assert kept.columns == table.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
 
 
+def test_rows_are_cleaned_one_by_one(spark):
+    table = docs(spark, [ITEM, "clean text of its own", ITEM, "clean text without an id", None], [1, 1, None, None, None])
+    kept = decontam.clean(table, items(spark, [ITEM]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == [
+        (1, "clean text of its own"), (None, "clean text without an id"), (None, None)]
+
+
 def test_map_of_bits(spark):
     windows = spark.createDataFrame([(g,) for g in (0, -1, 5 << 40, 1 << 62)], "gram long")
     bits = decontam.bit_map(windows)

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from cases import TEXTS, by_id, docs
 
+import corpus_pipeline
 from auditflow.llm import simhash
 
 SMALL = {c: c + 32 for c in range(65, 91)}
@@ -94,3 +95,24 @@ def test_survivors(spark):
     alone = simhash.survivors(docs(spark, [None, ""], [None, None]))
     assert alone.count() == 1
     assert simhash.survivors(docs(spark, [])).count() == 0 and simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    one, two, three = "same text of several words here", "another one, wholly different from it", "a third that nobody else has written down"
+    cases = [
+        ([one, two, three, one], [None] * 4, {one, two, three}),
+        ([one, one, two], [None, None, 4], {one, two}),
+        ([one, two, two, three], [2, 2, 2, 5], {one, two, three}),
+        ([one, two, one, None, ""], [2, 3, 3, None, None], None),
+        ([one, one, one], [None, None, None], {one}),
+    ]
+    for texts, ids, want in cases:
+        table = docs(spark, texts, ids)
+        for stage in (simhash.representatives, lambda t: corpus_pipeline.drop_near_duplicates(spark, t, "")):
+            kept = stage(table)
+            assert kept.columns == table.columns
+            got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+            if want is None:
+                assert sorted(got, key=str) in ([(2, one), (3, two), (None, "")], [(2, one), (3, two), (None, None)])
+            else:
+                assert sorted(t for _, t in got) == sorted(want)
