@@ -9,7 +9,8 @@ be content as well.  Where the page marks an article or main part around or insi
 the subtree is widened or narrowed to it.
 
 Menus, headers, footers, sidebars, forms, notices, adverts and reader comments are left out by
-their elements and by the words of their class, id and role, before densities count;
+their elements and by the names in their class, id and role, before densities count, unless such a
+form or named element (not readers' comments) holds most of the page's text outside links;
 scripts, styles and other parts without text never enter the tree.
 
 Defined cases: null, empty and textless pages have empty text; unclosed elements end where
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame
 
 from auditflow.llm import text as T
 
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z0-9]+")
+# As in the HTML standard a quote opens a value only right behind "="; elsewhere it is a letter, and ">" ends the tag.
+_VALUE = r"(?>\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
+_TAG = re.compile(rf"</?([a-zA-Z][^\s/>]*+)((?>[\s/]++|=?+[^\s/>=]++(?>\s*+=\s*+{_VALUE}?+)?+|=)*+)>")
+_ATTRIBUTE = re.compile(r"=?([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 #: Fixed element names of the HTML standard.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,41 +57,55 @@ MARKS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead sidebar aside widget ad ads adv advert adverts advertisement "
     "advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login search share sharing social comment comments commentlist disqus respond replies reply discussion related recommended "
-    "recommendations pagination pager toolbar skip copyright contentinfo complementary".split()
+    "recommendations pagination pager toolbar skip copyright contentinfo complementary "
+    "cookie-notice cookie-banner cookie-consent site-header site-footer page-footer nav-bar menu-bar side-bar ad-banner social-share share-buttons "
+    "comment-list post-comments related-posts related-articles skip-link newsletter-signup".split()
 )
+#: Marks that are also common headings: as an id they may be the anchor of a section.
+HEADINGS = frozenset("discussion comment comments notice notices notification related recommended recommendations search share sharing social subscription promotion reply respond replies sponsor "
+                     "copyright advertising".split()) - {"comments", "respond"}
+#: Marks of what readers write, which may well be longer than the content.
+READERS = frozenset("comment comments commentlist comment-list post-comments disqus respond replies reply discussion".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "first", "last", "marked", "chars", "tags", "link_chars", "link_tags", "density", "sum", "children")
+    __slots__ = ("tag", "parent", "first", "last", "marked", "chars", "tags", "link_chars", "link_tags", "density", "sum", "children", "plain")
 
-    def __init__(self, tag: str, parent: Node | None, first: int, marked: bool):
+    def __init__(self, tag: str, parent: Node | None, first: int, marked: int):
         self.tag, self.parent, self.first, self.last, self.marked = tag, parent, first, first, marked
+        self.plain = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.children: list[Node] = []
 
 
-def _is_marked(tag: str, attributes: str) -> bool:
-    """Whether an element is left out by its name, or by the words of its attributes."""
+def _is_marked(tag: str, attributes: str) -> int:
+    """Whether an element is left out by its name, or by the names in its attributes: 0 no, 1 unless it wraps the page, 2 always."""
+    marked = 0
     if tag in DROPPED:
-        return True
+        if tag not in ("form", "fieldset"):
+            return 2
+        marked = 1
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return marked
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
             if name == "role" and value in ("main", "article"):
-                return False
-            if not MARKS.isdisjoint(_WORDS.findall(value)):
-                return True
+                return 0
+            names = MARKS.intersection(value.split())
+            if name == "id":
+                names -= HEADINGS
+            if names and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                marked = max(marked, 1 if READERS.isdisjoint(names) else 2)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return marked
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of a page, and its stretches of text in page order; a block's edge is a stretch ' '."""
-    root = Node("html", None, 0, False)
+    root = Node("html", None, 0, 0)
     here, body, at, pieces = root, None, 0, []
     opened: Counter[str] = Counter()  # open elements by name, so that a stray end tag costs no search
 
@@ -146,7 +162,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                         node = node.parent
                     if node is not root:
                         close(node)
-                    here.children.append(body := Node("body", here, len(pieces), False))
+                    here.children.append(body := Node("body", here, len(pieces), 0))
                     opened["body"] += 1
                     here = body
                 elif tag in VOID:
@@ -172,13 +188,24 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 def _measure(body: Node, pieces: list[tuple[Node, str]]) -> list[Node]:
     """All unmarked nodes in page order, with their densities; a marked node counts as nothing."""
+    every, stack = [], [body]
+    while stack:
+        every.append(node := stack.pop())
+        stack.extend(node.children)
+    for node, piece in pieces:
+        node.plain += len(piece.strip())
+    for node in reversed(every):
+        if node.tag == "a":
+            node.plain = 0
+        if node is not body:
+            node.parent.plain += node.plain
     order, stack = [], [(body, False)]
     while stack:
         node, inside = stack.pop()
         order.append(node)
         inside = inside or node.tag in ("article", "main")
-        # What is no content unless it holds the page's article; an article's own header is content.
-        node.children = [c for c in node.children if not (c.marked or c.tag == "header" and not inside) or _holds_article(c)]
+        # What is no content unless it holds the page's article or most of its text; an article's own header is content.
+        node.children = [c for c in node.children if not (c.marked or c.tag == "header" and not inside) or c.marked < 2 and 2 * c.plain > body.plain or _holds_article(c)]
         stack.extend((c, inside) for c in reversed(node.children))
     for node, piece in pieces:
         if piece != " ":

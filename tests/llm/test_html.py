@@ -27,6 +27,20 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div class='page has-sidebar'>{P}</div>", PLAIN), (f"<body><div class='layout no-footer'>{P}</div>", PLAIN),
+    (f"<body><form id=aspnetForm action='/x'><div>{P}</div></form>", PLAIN), (f"<body><div class='banner'><div>{P}</div></div>", PLAIN),
+    (f"<body><div>{P}<section id='discussion'>{P}</section></div>", f"{PLAIN} {PLAIN}"),
+    (f"<body><div><h2 id='related-work'>Related work</h2>{P}</div>", f"Related work {PLAIN}"),
+    (f'<body><div><p>See <a href="x"">this</a> and more words here.</p>{P}</div>', f"See this and more words here. {PLAIN}"),
+    (f"<body><div><p title=don't>One that stays in the text.</p>{P}</div>", f"One that stays in the text. {PLAIN}"),
+    (f"<body><div><p class='a'b\" = >Stays.</p>{P}<p id=x/y title='a > b'>Last.</p></div>", f"Stays. {PLAIN} Last."),
+    (f"<body><div>{P}</div><div class='sidebar'>{P[:100]}</p></div><form><p>Search</p></form>", PLAIN),
+])
+def test_common_markup_loses_no_text(page, text):
+    assert main_text(page) == text
+
+
 def test_stray_and_deep_tags_stay_linear():
     assert main_text("<div>" * 3000 + "deep" + "</span>" * 50_000 + "</div>" * 3000) == "deep"
     assert main_text("<b>" * 20_000 + "<p>x</p>" * 2000).startswith("x x")
