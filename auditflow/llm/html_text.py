@@ -5,8 +5,9 @@ them; its density is characters per tag, lessened by a logarithm that grows with
 of links.  A node's density sum is that of its children.  The subtree with the greatest
 sum is the content; the least density on the path from it to the body is the threshold that
 a child of the path must reach, with as much plain text as the content's own blocks, to
-be content as well.  Where the page marks an article or main part around or inside that subtree,
-the subtree is widened or narrowed to it.
+be content as well.  Article and main parts are only weighed: their density counts WEIGHT times,
+when the content lies inside one and may be widened to it, and when one beside the path, of
+whatever length, is held against the threshold.
 
 Menus, headers, footers, sidebars, forms, notices, adverts and reader comments are left out by
 their elements and by the names in their class, id and role, before densities count, unless such a
@@ -67,6 +68,11 @@ HEADINGS = frozenset("discussion comment comments notice notices notification re
 #: Marks of what readers write, which may well be longer than the content.
 READERS = frozenset("comment comments commentlist comment-list post-comments disqus respond replies reply discussion".split())
 
+#: Blocks that hold a part of a text; the content is what holds them.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt br hr".split())
+#: What counts for an article or main part where its density is held against the densest subtree inside it, or the threshold.
+WEIGHT = 2.0
+
 
 class Node:
     __slots__ = ("tag", "parent", "first", "last", "marked", "chars", "tags", "link_chars", "link_tags", "density", "sum", "children", "plain")
@@ -253,25 +259,22 @@ def main_text(html: str | None) -> str:
     if not body.chars:
         return ""
     best = max((n for n in order if n.children or n is body or n.tag in BLOCKS), key=lambda n: n.sum, default=body)
-    while best.parent is not None and best is not body and best.tag not in BLOCKS:
+    while best.parent is not None and best is not body and (best.tag not in BLOCKS or best.tag in LINES):
         best = best.parent
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    marked = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
-    inner = [n for n in order if n.tag in ("article", "main") and n.first >= best.first and n.last <= best.last]
-    if marked is not None:
-        best = marked
-    elif inner and sum(n.chars for n in inner if n.tag == inner[0].tag) >= best.chars / 2:
-        best = max(inner, key=lambda n: n.chars)
     threshold = min(n.density for n in path)
+    around = next((k for k, n in enumerate(path) if n.tag in ("article", "main")), 0)
+    if WEIGHT * path[around].density >= best.density:
+        path = path[around:]
+        best = path[0]
     own = sorted(n.chars for n in order if n.tag == "p" and n.first >= best.first and n.last <= best.last)
     usual = own[len(own) // 2] if own else best.chars
     parts = [best]
-    if best.tag not in ("article", "main"):  # blocks beside the path that are as dense and as long
-        for node in path[1:]:
-            parts += [c for c in node.children if c not in path and c.tag in BLOCKS and c.density >= threshold and c.chars >= usual and 2 * c.link_chars < c.chars
-                      and (c.tag == "p" or c.tag[:1] == "h" and c.tag[1:].isdigit() or any(x.tag == "p" for x in c.children))]
+    for node in path[1:]:  # what stands beside the path: articles as dense, and blocks as dense and as long
+        parts += [c for c in node.children if c not in path and c.tag in BLOCKS and c.density * (WEIGHT if _holds_article(c) else 1) >= threshold and 2 * c.link_chars < c.chars
+                  and (_holds_article(c) or c.chars >= usual and (c.tag == "p" or c.tag[:1] == "h" and c.tag[1:].isdigit() or any(x.tag == "p" for x in c.children)))]
     kept = {id(n) for n in order}
     return " ".join(filter(None, (_text(n, pieces, kept) for n in sorted(parts, key=lambda n: n.first))))
 

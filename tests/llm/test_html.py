@@ -41,6 +41,23 @@ def test_common_markup_loses_no_text(page, text):
     assert main_text(page) == text
 
 
+Q1, Q2, Q3 = (P.replace("Sentence", w) for w in ("First", "Second", "Third"))
+ONE, TWO, THREE = (PLAIN.replace("Sentence", w) for w in ("First", "Second", "Third"))
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div class=nav>x</div><div><article>{Q1}</article><article>{Q2}</article><article>{Q3}{Q3}</article></div><footer>f</footer>", f"{ONE} {TWO} {THREE} {THREE}"),
+    (f"<body><nav>n</nav><main><article>{Q1}</article><article>{Q2}</article></main>", f"{ONE} {TWO}"),
+    (f"<body><article>{Q1}{Q2}{Q3}</article><article><h2>More</h2>{Q2}</article>", f"{ONE} {TWO} {THREE} More {TWO}"),
+    (f"<body><div><article><p>A teaser.</p></article>{Q1}{Q2}</div>", f"A teaser. {ONE} {TWO}"),
+    (f"<body><article><header><h1>Title</h1></header><div>{Q1}</div></article>", f"Title {ONE}"),
+    (f"<body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div><div><h1>Title</h1>{Q1}</div><div><a href=4>Terms</a></div>", f"Title {ONE}"),
+    (f"<body><div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><section><h2>Title</h2>{Q1}{Q2}</section><section><h2>Other</h2>{Q3}</section>", f"Title {ONE} {TWO} Other {THREE}"),
+])
+def test_density_chooses_and_every_article_stays(page, text):
+    assert main_text(page) == text
+
+
 def test_stray_and_deep_tags_stay_linear():
     assert main_text("<div>" * 3000 + "deep" + "</span>" * 50_000 + "</div>" * 3000) == "deep"
     assert main_text("<b>" * 20_000 + "<p>x</p>" * 2000).startswith("x x")
