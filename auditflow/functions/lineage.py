@@ -34,3 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, for results that are read several times."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a new Parquet folder of the shared one, and read from there.
+
+    A checkpoint computes its rows twice unless they are cached; this does not.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
