@@ -41,7 +41,7 @@ PIECE_TERMS = 1 << 18
 PASS_BYTES = 64 << 20
 BLOCK_TERMS, BLOCK_CELLS = 4096, 1_000_000
 #: Groups and ordinals that a task holds before it hands them on.
-_HELD = 1 << 20
+_HELD = 1 << 21
 _SLICE = 4 << 20
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[0x41:0x5B] = _NO_LETTER[0x61:0x7B] = _NO_LETTER[0x80:] = False
@@ -146,11 +146,12 @@ def recounted(docs: DataFrame, pieces: DataFrame, piece_terms: int = PIECE_TERMS
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             whole, layers = shipped.value
             groups: dict[tuple[str, str], int] = {}
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def emit() -> pa.RecordBatch:
-                known = list(groups)
-                of = pa.array(keys >> 40)
+                keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)  # below 2^53: exact
+                known, of = list(groups), pa.array(keys >> 40)
                 return pa.RecordBatch.from_arrays(
                     [pa.array([g[0] for g in known], pa.string()).take(of), pa.array([g[1] for g in known], pa.string()).take(of), pa.array(keys & ((1 << 40) - 1)), pa.array(counts)],
                     ["lang", "source", "ordinal", "n"])
@@ -169,15 +170,11 @@ def recounted(docs: DataFrame, pieces: DataFrame, piece_terms: int = PIECE_TERMS
                     ordinal = transducer.ordinals(whole, first[lang[at], 0], data, starts[mine], ends[mine])
                     hit = ordinal >= 0
                     hits.append((group[at[hit]] << 40) + first[lang[at[hit]], 1] * piece_terms + ordinal[hit])
-                new, n = np.unique(np.concatenate(hits), return_counts=True)
-                keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, place, np.concatenate([counts, n]))
-                counts = total
-                if len(keys) > _HELD:
+                held.append(np.unique(np.concatenate(hits), return_counts=True))
+                if sum(len(k) for k, _ in held) > _HELD:
                     yield emit()
-                    groups, keys, counts = {}, keys[:0], counts[:0]
-            if len(keys):
+                    groups, held = {}, []
+            if held:
                 yield emit()
 
         langs = sorted({lang for lang, _ in names})
