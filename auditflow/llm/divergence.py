@@ -41,8 +41,8 @@ PIECE_TERMS = 1 << 18
 PASS_BYTES = 64 << 20
 BLOCK_TERMS, BLOCK_CELLS = 4096, 1_000_000
 #: Groups and ordinals that a task holds before it hands them on.
-_HELD = 1 << 21
-_SLICE = 4 << 20
+_HELD = 1 << 20
+_SLICE = 2 << 20
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[0x41:0x5B] = _NO_LETTER[0x61:0x7B] = _NO_LETTER[0x80:] = False
 
