@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditflow.functions.lineage import cut
 from auditflow.functions.text import contains_any
+from auditflow.operators.anonymize import vault_entries
 
 LOG_DDL = (
     "id bigint, ts timestamp, source string, machine string, user string, threats_count int, "
@@ -54,10 +55,9 @@ def log_entries(audited: DataFrame, keep_original: bool = False, text_col: str =
     cols = audited.columns
     optional = [F.col(c) if c in cols else F.lit(None).cast("string").alias(c) for c in ("machine", "user")]
     keys = [c for c in cols if c in ("doc_id", "event_id", "seq", "session_id")]
-    tokens = F.array_distinct("spans.token")
-    values = F.transform(tokens, lambda t: F.element_at(
-        F.filter("spans", lambda s: s["token"] == t), -1)["original"] if keep_original
-        else F.lit(None).cast("string"))
+    held = vault_entries(F.col("spans"))
+    tokens = held["token"]
+    values = held["original"] if keep_original else F.transform(tokens, lambda t: F.lit(None).cast("string"))
     entries = audited.where((F.size("findings") > 0) & (F.col("sanitized_text") != F.col(text_col))).select(
         *keys, "ts", "source", *optional, F.size("findings").alias("threats_count"),
         report_categories(F.col("findings")).alias("categories"),

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditflow.functions.folds import bind, fold
+from auditflow.functions.index import WINDOW, places, windows
 from auditflow.functions.text import computed_once, sql_name, strip
 from auditflow.operators.anonymize import tag_of
 from auditflow.operators.detect import FINDING
 
+#: From so many findings on, the text is indexed.
+INDEXED = 200
 SPAN = "struct<start:int,finding_ord:int,len:int,category:string,tag:string,original:string>"
 
 
@@ -56,17 +59,27 @@ def with_merged(df: DataFrame, semantic: DataFrame | None = None, key: str = "do
 def _located(text_col: str) -> Column:
     """All non-overlapping occurrences of every finding's quote, left to right.
 
-    A quote is searched by splitting the text at it: the lengths of the pieces give
-    the positions.
+    With few findings each quote is searched by splitting the text at it: the lengths of the
+    pieces give the positions.  That costs a pass over the text for each quote.  With more
+    than INDEXED findings the windows of the text are sorted once, and a quote
+    of at most WINDOW signs is found by binary search.
     """
     quoted = r"concat(r'\Q', replace(f.verbatim_quote, r'\E', r'\E\\E\Q'), r'\E')"
-    pieces = f"split({sql_name(text_col)}, {quoted}, -1)"
-    span = ("struct(a.pos + length(x), f.finding_ord, length(f.verbatim_quote), "
+    text = sql_name(text_col)
+    pieces = f"split({text}, {quoted}, -1)"
+    span = ("struct({at}, f.finding_ord, length(f.verbatim_quote), "
             f"coalesce(f.category, 'PII'), {tag_of('f')}, f.verbatim_quote)")
     step = (f"named_struct('pos', a.pos + length(x) + length(f.verbatim_quote), "
-            f"'out', concat(a.out, array(cast({span} as {SPAN}))))")
-    occurrences = bind(pieces, "p", bind("slice(p, 1, size(p) - 1)", "q", fold("q", SPAN, step)))
-    return F.expr(f"flatten(transform(findings, f -> {occurrences}))")
+            f"'out', concat(a.out, array(cast({span.format(at='a.pos + length(x)')} as {SPAN}))))")
+    by_split = bind(pieces, "p", bind("slice(p, 1, size(p) - 1)", "q", fold("q", SPAN, step)))
+    # Places of a quote that overlaps itself are taken from the left.
+    apart = fold("at", "int", "CASE WHEN x >= a.pos THEN named_struct('pos', x + length(f.verbatim_quote), 'out', concat(a.out, array(x))) ELSE a END")
+    overlaps = "size(filter(at, (x, i) -> i > 0 AND x < get(at, i - 1) + length(f.verbatim_quote))) > 0"
+    own = f"CASE WHEN {overlaps} THEN {apart} ELSE at END"
+    by_index = bind(places("idx", "f.verbatim_quote"), "at", f"transform({own}, x -> cast({span.format(at='x')} as {SPAN}))")
+    few = f"transform(findings, f -> {by_split})"
+    many = bind(windows(text), "idx", f"transform(findings, f -> CASE WHEN length(f.verbatim_quote) <= {WINDOW} THEN {by_index} ELSE {by_split} END)")
+    return F.expr(f"flatten(CASE WHEN size(findings) <= {INDEXED} THEN {few} ELSE {many} END)")
 
 
 def _without_overlaps(spans: str) -> Column:

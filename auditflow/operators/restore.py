@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditflow.functions.folds import bind
+from auditflow.functions.index import below
 from auditflow.functions.lineage import cut
-from auditflow.functions.text import computed_once, escape_html, replace_tokens
+from auditflow.functions.text import computed_once, escape_html, replace_tokens, sql_name
 from auditflow.operators.anonymize import vault_entries
 
 TOKEN_REGEX = r"\[[^\[\]]+\]"
+#: The same as a SQL literal.  Up to FEW entries are applied in turn.
+TOKEN, FEW = f"r'{TOKEN_REGEX}'", 16
 
 
-def restored(text: Column, entries: Column) -> Column:
-    """``text`` with ``entries`` (token, original, start) applied, longest token first."""
-    ranked = F.transform(entries, lambda e: F.struct(
-        (-F.length(e["token"])).alias("rank"), e["start"].alias("start"),
-        e["token"].alias("token"), e["original"].alias("original")))
-    return replace_tokens(text, F.array_sort(ranked))
+def restored(text_col: str, entries_col: str) -> Column:
+    """``text_col`` with ``entries_col`` (token, original, start) applied, longest token first.
+
+    Applied one after the other, each entry costs a pass over the text.  Where every token is a
+    bracketed name and no value holds a bracket, no replacement can make or break
+    another's token: then the text is cut once at everything that looks like a token, and
+    each is looked up, whatever their number.
+    """
+    text, entries = sql_name(text_col), sql_name(entries_col)
+    by_length = f"array_sort(transform({entries}, x -> struct(-length(x.token) as rank, x.start as start, x.token as token, x.original as original)))"
+    in_turn = f"aggregate({by_length}, {text}, (acc, x) -> replace(acc, x.token, x.original))"
+    by_token = f"array_sort(transform({entries}, x -> struct(x.token as token, x.start as start, x.original as original)))"
+    known = bind(below("e", "x.token < t"), "at", "CASE WHEN get(e, at).token = t THEN get(e, at).original ELSE t END")
+    values = f"transform(regexp_extract_all({text}, {TOKEN}, 0), t -> {known})"
+    # The pieces between the tokens and the tokens take turns; no token stands behind the last piece.
+    joined = bind(values, "v", f"array_join(transform(split({text}, {TOKEN}, -1), (p, i) -> concat(p, coalesce(get(v, i), ''))), '')")
+    apart = rf"forall({entries}, x -> rlike(x.token, concat(r'\A', {TOKEN}, r'\z')) AND NOT rlike(x.original, r'[\[\]]'))"
+    return F.expr(f"CASE WHEN size({entries}) > {FEW} AND {apart} THEN {bind(by_token, 'e', joined)} ELSE {in_turn} END")
 
 
 def with_restored(audited: DataFrame) -> DataFrame:
@@ -25,7 +41,7 @@ def with_restored(audited: DataFrame) -> DataFrame:
     kept = audited.columns
     staged = audited.select(*kept, vault_entries(F.col("spans")).alias("_entries"))
     return staged.select(*kept, computed_once(
-        restored(F.col("sanitized_text"), F.col("_entries"))).alias("restored_text"))
+        restored("sanitized_text", "_entries")).alias("restored_text"))
 
 
 def restore(texts: DataFrame, vault: DataFrame, key: str = "doc_id",
@@ -38,7 +54,7 @@ def restore(texts: DataFrame, vault: DataFrame, key: str = "doc_id",
         F.collect_list(F.struct("token", "original", "start")).alias("_entries"))
     joined = texts.join(entries, key, "left")
     return joined.withColumn("restored_text", F.when(
-        F.col("_entries").isNull(), F.col(text_col)).otherwise(restored(F.col(text_col), F.col("_entries")))
+        F.col("_entries").isNull(), F.col(text_col)).otherwise(restored(text_col, "_entries"))
     ).drop("_entries")
 
 
