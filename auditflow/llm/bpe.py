@@ -12,7 +12,8 @@ stretch grows over the next chunk.  The ids are exactly those of the whole text.
 
 The vocabulary and merges are read from the tokenizer file.  Texts that hold one of its
 special strings, and stretches with characters above U+2FFF, go through the tokenizers
-library itself; all others through a faster encoder made from the same merges.
+library itself; all others through a faster encoder made from the same merges, in front of
+which runs of blanks are set apart, whatever their length.
 
 Defined cases: null is the empty text, which has no ids and decodes to the empty text; ids
 that the vocabulary lacks decode to nothing; repeated rows give repeated results; an empty
@@ -40,6 +41,8 @@ _REACH = 32
 REMEMBERED = 8 << 20
 _GEAR = np.random.default_rng(19937).integers(0, 1 << 32, 256, dtype=np.uint32)
 _ODD_SIGNS = re.compile("[　-\U0010ffff]")
+#: Runs of what the pattern counts as blanks (below U+3000).
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f]{2,}")
 #: A blank behind a sign that certainly is none: there all encodings agree.
 _AGREE = re.compile(r"(?<=[\x21-\x7EÀ-ſ])[ \n\t\r]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,7 +87,18 @@ class Encoder:
     def plain(self, text: str) -> array:
         if _ODD_SIGNS.search(text):
             return self.slow(text)
-        return array("i", self.fast.encode_ordinary(text))
+        ids, at = array("i"), 0
+        for run in _RUN.finditer(text):
+            # The pattern takes a run of blanks without its last sign (at the end of the text: all of it) as one piece.
+            # Its look-ahead gives back signs one by one, so a long run would overflow the matcher's stack.
+            end = run.end() - (run.end() < len(text))
+            if at < run.start():
+                ids.extend(self.fast.encode_ordinary(text[at : run.start()]))
+            ids.extend(self.fast._encode_single_piece(text[run.start() : end]))
+            at = end
+        if at < len(text):
+            ids.extend(self.fast.encode_ordinary(text[at:] if at else text))
+        return ids
 
     def chunk(self, text: str) -> tuple[str, array | None, str]:
         """What stands before the first agreeing place, the ids between first and last, what stands behind.

@@ -67,3 +67,11 @@ def test_query(spark):
         return hashlib.sha256(text.encode()).hexdigest()
 
     assert found == {k: (len(library(t)), digest(",".join(map(str, library(t)))), digest(t)) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \n", "\u2003"])
+def test_long_runs_of_blanks(blank):
+    work = bpe.Encoder(PATH)
+    for text in (blank * 5_000_000, "a" + blank * 1_200_000 + "word" + blank * 3 + "end" + blank, blank * 2 + "x" + blank * 2, "a  b\n\n\nc \t d\x1c\x1c e\xa0 f"):
+        chunks = next(bpe.chunked(pa.array([text])))
+        assert work.encode(chunks).tolist() == vocab.library_tokenizer(PATH).encode(text, add_special_tokens=False).ids
