@@ -19,7 +19,6 @@ as no rows; further columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,9 +41,13 @@ BLOCK = 4096
 SEGMENT_IDS = 2 << 20
 SEGMENTS_PER_FILE = 4
 REMEMBERED = 250_000
-#: Signs for which lower case and the pattern below equal what the library does: ASCII and Latin-1 letters.
-_COMMON = re.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Bytes by class: letters, digits, other printable signs of ASCII.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_CLASS = np.where(_VISIBLE, _OTHER, 0).astype(np.uint8)
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
 
 
 def width(ids: int) -> int:
@@ -126,11 +129,12 @@ def segments(raw: bytes) -> Iterator[Segment]:
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, once for each distinct word that is remembered.
+    """Ids of whole texts by the tokenizers library's model, once for each distinct pre-token that is remembered.
 
-    The normaliser and pre-tokeniser of the vocabulary never look beyond a blank, so a text's
-    ids are those of its words.  Words with common letters go straight to the library's
-    model, part by part; all others through the library as a whole.
+    The normaliser and pre-tokeniser of the vocabulary never look beyond a blank.  In words
+    of printable ASCII and Latin-1 letters the pre-tokens (letters, single digits, other
+    signs, endings such as 's) follow from the classes of the bytes, so all of a slice are
+    found at once; words with other signs or a special string go through the library as a whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -138,44 +142,98 @@ class WordEncoder:
         self.model = self.library.model
         self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
         self.letters = {b: c for b, c in vocab.byte_letters().items()}
-        self.specials = vocab.special_strings(path)
+        self.openings = {s[:2].encode() for s in vocab.special_strings(path)}
         self.words, self.parts = vocab.Memory(remembered), vocab.Memory(remembered)
         vocab.content.cache_clear()
 
-    def part(self, part: str) -> bytes:
+    def part(self, part: bytes) -> bytes:
         """The ids of a pre-token as little-endian uint32, which takes less memory than numbers."""
         found = self.parts.get(part)
         if found is None:
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            found = np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))], "<u4").tobytes()
             self.parts.put(part, found)
         return found
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: bytes) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if _COMMON.fullmatch(word) and not any(s in word for s in self.specials):
-                found = b"".join(map(self.part, _PARTS.findall(word.lower())))
-            else:
-                found = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             self.words.put(word, found)
         return found
 
+    def units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, and starts and ends of all pre-tokens and odd words, and which are odd words."""
+        after = np.append(data[1:], np.uint8(0))
+        lead = (data == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        second = np.append(False, lead[:-1])
+        strange = ~(_VISIBLE[data] | T.BLANK[data] | lead | second)
+        for opening in self.openings:
+            strange |= (data == opening[0]) & (after == opening[-1])
+        seen = np.concatenate([[0], np.cumsum(strange)])
+        odd = seen[ends] > seen[starts]
+        lower = T.LOWER[data]
+        lower[second & (data <= 0x9E)] += 0x20
+
+        kind = _CLASS[data]
+        kind[lead | second] = _LETTER
+        edge = np.zeros(len(data) + 1, bool)
+        edge[1:-1] = kind[1:] != kind[:-1]
+        edge[:-1] |= (kind == _DIGIT)
+        edge[starts] = True
+        # 's, 't, 'm, 'd, 're, 've, 'll, where no other sign stands directly in front.
+        mark = np.flatnonzero((data == 0x27) & edge[:-1])
+        padded = np.append(lower, np.zeros(2, np.uint8))
+        one, two = padded[mark + 1], padded[mark + 2]
+        long = ((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C))
+        short = (one == 0x73) | (one == 0x74) | (one == 0x6D) | (one == 0x64)
+        last = ends[np.searchsorted(ends, mark, "right")] if len(mark) else mark
+        long &= mark + 3 <= last
+        short &= mark + 2 <= last
+        edge[mark[long | short] + 1] = False
+        edge[mark[short] + 2] = True
+        edge[mark[long] + 3] = True
+
+        inside = np.repeat(odd, ends - starts)
+        places = np.flatnonzero(~T.BLANK[data])
+        edge[places[inside]] = False
+        edge[starts[odd]] = True
+        begin = np.flatnonzero(edge[:-1] & ~T.BLANK[data])
+        owner = np.searchsorted(starts, begin, "right") - 1
+        finish = np.minimum(np.append(begin[1:], len(data)), ends[owner])
+        return lower, begin, finish, odd[owner]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and how many each text has."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
-        coded = lists.flatten().dictionary_encode()
-        known = [self.word(w) if w else b"" for w in coded.dictionary.to_pylist()]
+        data, offsets = T.utf8(column)
+        starts, ends, _ = T.words(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        lower, begin, finish, odd = self.units(data, starts, ends)
+        code = np.empty(len(begin), np.int64)
+        known: list[bytes] = []
+        for which, raw, look_up in ((~odd, lower, self.part), (odd, data, self.word)):
+            mine = np.flatnonzero(which)
+            coded = _slices_of(raw, begin[mine], finish[mine]).dictionary_encode()
+            code[mine] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(known)
+            known += [look_up(w) for w in coded.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
-        begin = np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        per_word = sizes[index]
-        ends = np.cumsum(per_word)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) + np.repeat(begin[index] - (ends - per_word), per_word)
-        word_at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
-        return flat[place], np.diff(word_at)
+        first = np.cumsum(sizes) - sizes
+        per_unit = sizes[code]
+        ends_of = np.cumsum(per_unit)
+        place = np.arange(int(ends_of[-1])) + np.repeat(first[code] - (ends_of - per_unit), per_unit)
+        unit_at = np.concatenate([[0], ends_of])[np.searchsorted(begin, offsets)]
+        return flat[place], np.diff(unit_at)
+
+
+def _slices_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each range, which ascend without overlap, as one binary column."""
+    lengths = ends - starts
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1  # ranges are not empty, so ends differ
+    kept = np.ascontiguousarray(data[np.cumsum(step[:-1], dtype=np.int8) > 0])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)), pa.py_buffer(kept)])
 
 
 @lru_cache(maxsize=2)
@@ -204,7 +262,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int | None = None, segme
             body = segment(partition, number, doc_ids, np.concatenate([p[2] for p in held]), np.concatenate([p[1] for p in held]), bits)
             return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["body"])
 
-        for batch in T.slices(batches, "text", 4 << 20):
+        for batch in T.slices(batches, "text", 3 << 20, 1 << 14):
             ids, sizes = _with_end(*work.encode(batch.column("text")), end)
             held.append((batch.column("doc_id").to_pylist(), ids, sizes))
             count += len(ids)

@@ -120,3 +120,15 @@ def test_count_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = by_id(Q.QUERIES["op8_token_counts"](spark, SF), "n_bytes", "n_tokens", "over_limit")
     assert found == {k: (len(t.encode()), n, n > 2048) for k, t in texts.items() for n in [len(library(t))]}
+
+
+def test_words_of_all_kinds_equal_the_library():
+    rnd = random.Random(5)
+    pool = ["'s", "'re", "'", "''", '"', "a", "Word", "DON'T", "it'S", "l'été", "'llama", "'ll", "'v", "'ve9", "12", "3", "<|endoftext|>", "<|", "é", "É", "×", "÷", "ß", "ÿ", "Ö", "\x1c", "\x85",
+            "\xa0", "İ", "é", "字", "🙂", "\n", " ", " ", "  ", "-", "--", "A", "z'd", "'d'm", "\x7f", "\x00", "¿"]
+    texts = ["".join(rnd.choices(pool, k=rnd.randint(0, 40))) for _ in range(4000)] + [None, "", "'", " '", "'s", "x'", "'l", "'r e"]
+    ids, sizes = packing.WordEncoder(PATH).encode(pa.array(texts))
+    library, at = vocab.library_tokenizer(PATH), 0
+    for text, n in zip(texts, sizes, strict=True):
+        assert ids[at : at + n].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+        at += n
