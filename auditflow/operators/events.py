@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditflow.functions.lineage import cut
+from auditflow.functions import lineage
 from auditflow.functions.text import strip
-from auditflow.operators.sequences import SLICE, running, slice_of
+from auditflow.operators.sequences import SLICE, running, sliced
 
 # Shortest stripped text that is looked at; a paste is counted in
 # UTF-16 units, as a browser counts.
@@ -41,26 +41,31 @@ def _order(control: DataFrame) -> list[str]:
     return ["ts", "seq"] if "seq" in control.columns else ["ts"]
 
 
+def _with_state(rows: DataFrame, keys: list[str], order: list[str], is_control: Column) -> DataFrame:
+    """Add ``is_paused``: what the control rows up to each row say, in one scan; a null ``paused`` flips."""
+    flips, sets = is_control & F.col("paused").isNull(), is_control & F.col("paused").isNotNull()
+    scanned = running(sliced(rows, keys, order), keys, order, last={"_set": F.when(sets, F.col("paused"))}, since={"_flips": (flips.cast("int"), sets)})
+    odd = F.pmod("_flips", F.lit(2)) == 1
+    return scanned.withColumn("is_paused", F.coalesce("_set", F.lit(False)) != odd).drop("_flips", "_set", SLICE)
+
+
 def pause_states(control: DataFrame, keys: list[str]) -> DataFrame:
     """``control`` (keys, ts, paused, and seq where times repeat) with the state after each row; a null ``paused`` flips it."""
-    flip = F.col("paused").isNull()
-    resolved = running(
-        control.withColumn(SLICE, slice_of("ts")), keys, _order(control),
-        last={"_set": F.col("paused")}, since={"_flips": (flip.cast("int"), ~flip)})
-    odd = F.pmod("_flips", F.lit(2)) == 1
-    return resolved.withColumn("is_paused", F.coalesce("_set", F.lit(False)) != odd).drop("_flips", "_set", SLICE)
+    return _with_state(control, keys, _order(control), F.lit(True))
 
 
 def with_pause_state(events: DataFrame, control: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``is_paused`` as of each event (keys, ts); a control row counts from its own time on."""
+    """Add ``is_paused`` as of each event (keys, ts); a control row counts from its own time on.
+
+    Events and control rows are scanned together, so the states need no scan of their own.
+    """
     tie = F.col("seq") if "seq" in control.columns else F.lit(0)
-    states = pause_states(control, keys).select(*keys, "ts", F.col("is_paused").alias("_state"),
-                                                F.lit(0).alias("_kind"), tie.cast("long").alias("_tie"))
-    both = events.withColumn("_kind", F.lit(1)).unionByName(states, allowMissingColumns=True)
-    sliced = both.withColumn(SLICE, slice_of("ts"))
-    known = running(sliced, keys, ["ts", "_kind", "_tie"], last={"_known": F.col("_state")})
-    return known.where(F.col("_kind") == 1).withColumn(
-        "is_paused", F.coalesce("_known", F.lit(False))).drop("_kind", "_tie", "_state", "_known", SLICE)
+    said = control.select(*keys, "ts", F.col("paused").alias("_paused"), F.lit(0).alias("_kind"), tie.cast("long").alias("_tie"))
+    both = events.withColumn("_kind", F.lit(1)).unionByName(said, allowMissingColumns=True)
+    own = "paused" in both.columns  # a column of the events, which is kept
+    named = (both.withColumnRenamed("paused", "_own") if own else both).withColumnRenamed("_paused", "paused")
+    known = _with_state(named, keys, ["ts", "_kind", "_tie"], F.col("_kind") == 0).where(F.col("_kind") == 1).drop("_kind", "_tie", "paused")
+    return known.withColumnRenamed("_own", "paused") if own else known
 
 
 def pause_gate(events: DataFrame, control: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,11 +91,10 @@ def guard_decisions(audited: DataFrame, keys: list[str], order: list[str], text_
     changed = has_findings & (F.col("sanitized_text") != F.col(text_col))
     seen = audited.select(
         *keys, *[c for c in order if c not in keys], *[c for c in keep if c not in (*keys, *order)],
-        slice_of("ts"),
         F.when(changed, "dirty").when(has_findings, "unchanged").otherwise("clean").alias("_kind"),
         F.sha2(text_col, 256).alias("_in"), F.sha2("sanitized_text", 256).alias("_out"),
     )
-    seen = cut(seen)
+    seen = sliced(lineage.written(seen), keys, order)  # the audit runs once, not for the ranges too
     is_dirty = F.col("_kind") == "dirty"
     # Events with findings: turn, repeat or reset against the previous one.
     paired = running(seen.where(is_dirty), keys, order, before={"_prev": F.struct("_in", "_out")})
@@ -102,10 +106,10 @@ def guard_decisions(audited: DataFrame, keys: list[str], order: list[str], text_
     # All events: the last text written and the number of interceptions so far.
     rest = seen.where(~is_dirty).withColumn("_skip", F.lit(False))
     written = is_dirty & ~F.col("_skip")
-    every = running(cut(judged.unionByName(rest)), keys, order, sums={"_writes": written.cast("int")},
+    every = running(lineage.written(judged.unionByName(rest)), keys, order, sums={"_writes": written.cast("int")},
                     last={"_written": F.when(written, F.col("_out"))})
     own = ~is_dirty & F.coalesce(F.col("_in") == F.col("_written"), F.lit(False))
-    marked = cut(every.withColumn("_own", own | F.col("_skip")))
+    marked = lineage.written(every.withColumn("_own", own | F.col("_skip")))
 
     # Clean events that were audited: the same text as the one before, nothing intercepted between.
     is_clean = (F.col("_kind") == "clean") & ~F.col("_own")

@@ -1,22 +1,32 @@
 """Running values over ordered events that stay parallel when one key is hot.
 
-A window over a key sorts all its rows in one task.  Here a key is cut into slices
-(by time, say): the rows are windowed per key *and slice*, each slice is reduced to
-its last row, and what the earlier slices carry over is joined back.  Only the
-slice rows of a key meet in one task.
+A window over a key sorts all its rows in one task.  Here the rows are range-partitioned by
+key and order, and what one partition holds of a key is a slice of it, so slices follow the
+data: a key with a third of all rows, or all of its rows in one minute, is many slices.  The
+rows are windowed per key *and slice*, each slice is reduced to its last row, and what the
+earlier slices carry over is joined back.  Only the slice rows of a key meet in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditflow.functions.lineage import written
+
 SLICE = "_slice"
 
 
-def slice_of(ts: Column | str) -> Column:
-    """The default slice of an event: its hour."""
-    return F.date_trunc("hour", ts).alias(SLICE)
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_slice``, written once: ranges of (keys, order) of about the size that Spark gives a partition.
+
+    Rows equal in keys and order share a slice.  It is written so that all that reads
+    it sees the same slices, also after an executor is lost.
+    """
+    return written(df.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
@@ -61,7 +71,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
         *[F.last(F.when(F.col(f"_r_{n}").isNotNull(), F.col(f"_t_{n}") - (F.col(f"_s_{n}") - F.col(f"_r_{n}"))),
                  ignorenulls=True).over(earlier).alias(f"_z_{n}") for n in since],
     )
-    joined = local.join(carried, [*keys, SLICE])
+    # A null key is a key like any other.
+    named = carried.withColumnsRenamed({k: f"_k_{k}" for k in (*keys, SLICE)})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, SLICE)))
+    joined = local.join(named, same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_s_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
