@@ -794,6 +794,10 @@ def stream_guard(spark, sf_dir):
     return spark.read.parquet(f"{path}/out/statuses").select(F.col("seq").alias("event_id"), "status")
 
 
+#: Files, each a micro-batch, in which the events of a guarded stream arrive.
+ARRIVALS = 10
+
+
 # The same guard with pause rows in the stream: purchases flip, errors pause, signups resume.
 _BY_SEQ = _CONTROL.replace("ORDER BY ts, event_id", "ORDER BY event_id")
 _GATED = """gated AS (SELECT e.event_id, e.user_id, e.ts, coalesce(s.is_paused, false) AS paused FROM events e
@@ -806,11 +810,16 @@ def _events_with_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` written as a source writes them, and read as a stream."""
     path, kind = f"{scratch(spark)}/in", F.col("event_type")
     copied = kind.isin("click", "view")
-    load(spark, sf_dir, "events").where(copied | kind.isin("error", "signup", "purchase")).select(
+    rows = load(spark, sf_dir, "events").where(copied | kind.isin("error", "signup", "purchase")).select(
         F.col("user_id").cast("string").alias("user"), F.lit("host").alias("machine"), F.lit("tab").alias("session_id"),
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.expr(I.EVENT_SOURCE).alias("source"),
-        F.when(copied, F.expr(I.EVENT_TEXT)).alias("text"), F.expr(I.EVENT_PAUSED).alias("paused")).write.parquet(path)
-    return tables.read_event_stream(spark, path, "parquet")
+        F.when(copied, F.expr(I.EVENT_TEXT)).alias("text"), F.expr(I.EVENT_PAUSED).alias("paused"))
+    # One file after the other, as they arrive at a source: every file is a micro-batch.
+    ends = rows.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    edges = [ends["a"] + (ends["b"] + 1 - ends["a"]) * k // ARRIVALS for k in range(ARRIVALS + 1)] if ends["a"] is not None else []
+    for low, high in zip(edges, edges[1:], strict=False):
+        rows.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(path)
+    return tables.read_event_stream(spark, path, "parquet", files_per_trigger=1)
 
 
 def _guarded_with_pauses(spark: SparkSession, sf_dir: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditflow.operators.anonymize import vault
 from auditflow.operators.auditlog import (
-    ACTIVITY_BINS, ACTIVITY_ROWS, RECENT, audit_summary, guardian_counters, log_entries)
+    ACTIVITY_BINS, ACTIVITY_ROWS, RECENT, assign_log_ids, audit_summary, guardian_counters, log_entries)
 from auditflow.operators.events import long_enough
 from auditflow.operators.restore import upsert_vault
 from auditflow.operators.score import audit
@@ -21,6 +21,8 @@ from auditflow.sources.tables import write_batch
 
 KEYS = ("user", "machine", "session_id")
 IDLE_MS = 7 * 24 * 3600 * 1000
+#: Ids that each micro-batch has for its log rows.
+BATCH_IDS = 1 << 32
 _STATE = "paused boolean, last_sanitized string, last_clean string"
 
 
@@ -102,12 +104,16 @@ def start_guard(events: DataFrame, path: str, checkpoint: str, keep_original: bo
     """Run the guard: per micro-batch, write the log, the vault entries and the statuses.
 
     Each batch has folders of its own, so a batch that is replayed after a failure
-    replaces what it wrote before.
+    replaces what it wrote before.  A log row's id is made of its batch and its place in it
+    (from 1, by guard and ``seq``), so ids are unique, ascend from batch to batch, have no gap in a batch,
+    and a replay gives the same ones.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         hits = batch.where(F.col("status") == "intercepted")
-        write_batch(log_entries(hits, keep_original), f"{path}/log", batch_id)
+        numbered = assign_log_ids(log_entries(hits, keep_original), [*KEYS, "seq"])
+        log = numbered.withColumn("id", F.col("id") + F.lit(batch_id).cast("long") * BATCH_IDS)
+        write_batch(log, f"{path}/log", batch_id)
         scope = F.concat_ws("/", *KEYS)
         write_batch(vault(hits, "session_id", scope, F.col("seq")), f"{path}/vault", batch_id)
         write_batch(batch.select(*KEYS, "seq", "status"), f"{path}/statuses", batch_id)

@@ -133,3 +133,22 @@ def test_live_summary(spark, tmp_path):
     guard.start_live_summary(audits, "live_summary_test", str(tmp_path / "c"), availableNow=True).awaitTermination()
     got = {r.source: (r.total_scanned, r.desktop_interceptions) for r in spark.table("live_summary_test").collect()}
     assert got == {"desktop": (1, 1), "extension": (1, 0)}
+
+
+def test_log_ids_of_a_stream(spark, expected, tmp_path):
+    """Unique, ascending from batch to batch, without gaps in a batch, and the same after a replay."""
+    events, source, out = make_events(spark), str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(10):
+        events.where(f"seq >= {part * 40} and seq < {part * 40 + 40}").coalesce(1).write.mode("append").json(source)
+
+    def run(checkpoint):
+        stream = read_event_stream(spark, source, files_per_trigger=1)
+        guard.start_guard(guard.guard_stream(stream), out, str(tmp_path / checkpoint), availableNow=True).awaitTermination()
+        return sorted((r.id, r.seq, r.batch_id) for r in spark.read.parquet(f"{out}/log").collect())
+
+    first = run("a")
+    assert {r.seq: r.status for r in spark.read.parquet(f"{out}/statuses").collect() if r.status != "control"} == expected
+    assert len({b for _, _, b in first}) > 5 and [i for i, _, _ in first] == sorted({i for i, _, _ in first})
+    for batch in {b for _, _, b in first}:
+        assert [i for i, _, b in first if b == batch] == [batch * guard.BATCH_IDS + 1 + k for k in range(sum(b == batch for _, _, b in first))]
+    assert run("b") == first  # every batch again, into the same folders
