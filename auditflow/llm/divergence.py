@@ -41,7 +41,7 @@ PIECE_TERMS = 1 << 18
 PASS_BYTES = 64 << 20
 BLOCK_TERMS, BLOCK_CELLS = 4096, 1_000_000
 #: Groups and ordinals that a task holds before it hands them on.
-_HELD = 1 << 18
+_HELD = 1 << 20
 _SLICE = 2 << 20
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[0x41:0x5B] = _NO_LETTER[0x61:0x7B] = _NO_LETTER[0x80:] = False
@@ -148,15 +148,13 @@ def recounted(docs: DataFrame, pieces: DataFrame, piece_terms: int = PIECE_TERMS
             groups: dict[tuple[str, str], int] = {}
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def emit() -> Iterator[pa.RecordBatch]:
+            def emit() -> pa.RecordBatch:
                 keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
                 counts = np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)  # below 2^53: exact
-                lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
-                for k in range(0, len(keys), 1 << 16):
-                    part = keys[k : k + (1 << 16)]
-                    of = pa.array(part >> 40)
-                    yield pa.RecordBatch.from_arrays(
-                        [lang.take(of), source.take(of), pa.array(part & ((1 << 40) - 1)), pa.array(counts[k : k + (1 << 16)])], ["lang", "source", "ordinal", "n"])
+                known, of = list(groups), pa.array(keys >> 40)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([g[0] for g in known], pa.string()).take(of), pa.array([g[1] for g in known], pa.string()).take(of), pa.array(keys & ((1 << 40) - 1)), pa.array(counts)],
+                    ["lang", "source", "ordinal", "n"])
 
             for batch in T.slices(batches, "text", _SLICE, 4096):
                 lang, lang_names = _codes(batch.column("lang"))
@@ -174,10 +172,10 @@ def recounted(docs: DataFrame, pieces: DataFrame, piece_terms: int = PIECE_TERMS
                     hits.append((group[at[hit]] << 40) + first[lang[at[hit]], 1] * piece_terms + ordinal[hit])
                 held.append(np.unique(np.concatenate(hits), return_counts=True))
                 if sum(len(k) for k, _ in held) > _HELD:
-                    yield from emit()
+                    yield emit()
                     groups, held = {}, []
             if held:
-                yield from emit()
+                yield emit()
 
         langs = sorted({lang for lang, _ in names})
         mine = docs.where(F.col("lang").isin(langs)) if len(langs) <= 1000 else docs
