@@ -100,10 +100,10 @@ SENTENCES = (
     ("copyright-notice", "copyright (c)"),
     ("no-warranty", "the software is provided as is, without warranty of any kind"),
 )
-#: Between two words of a pattern: up to some signs or blanks, as in wrapped and commented text.
-_GAP = r"[^0-9a-z\x80-\U0010ffff]{1,24}"
+#: Between two words of a pattern: signs or blanks, however many, as in wrapped and commented text.
+_GAP = r"[^0-9a-z\x80-\U0010ffff]++"
 _EDGE, _STOP = r"(?<![0-9a-z\x80-\U0010ffff])", r"(?![0-9a-z\x80-\U0010ffff])"
-_VERSION = rf"(?:{_GAP}license)?{_GAP}(?:(?:version|ver|v)[^0-9a-z\x80-\U0010ffff]{{0,8}})?"
+_VERSION = rf"(?:{_GAP}license)?{_GAP}(?:(?:version|ver|v)[^0-9a-z\x80-\U0010ffff]*+)?"
 _GRANT = rf"(?:licensed|released|distributed|available|provided|published|redistributed){_GAP}(?:only{_GAP})?(?:under|using|with|according{_GAP}to)(?:{_GAP}the)?(?:{_GAP}terms{_GAP}of(?:{_GAP}the)?)?"
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 

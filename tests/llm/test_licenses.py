@@ -70,3 +70,18 @@ def test_gate_loses_nothing():
 def test_long_runs_stay_linear():
     text = "licensed under " + " " * 50_000 + "license version " * 20_000
     assert licenses.detections(text) == []
+
+
+@pytest.mark.parametrize("blanks", [1, 20, 30, 1000, 100_000])
+def test_a_gap_has_no_limit(blanks):
+    """A notice wrapped in comments is found however far its words stand apart."""
+    gap = "\n//" + " " * blanks
+    for words, label in [("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"), ("licensed under the Apache License, Version 2.0", "apache-2.0")]:
+        found = {r.label for _, _, r in licenses.detections(licenses.lower_ascii(words.replace(" ", gap)))}
+        one = {r.label for _, _, r in licenses.detections(licenses.lower_ascii(words))}
+        assert label in found and found == one
+
+
+def test_repeated_wide_gaps_stay_linear():
+    text = ("licensed" + " " * 500 + "under" + " " * 500) * 2000
+    assert licenses.detections(text) == []
