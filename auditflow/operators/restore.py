@@ -76,6 +76,14 @@ def upsert_vault(entries: DataFrame) -> DataFrame:
              F.col("_first.seq").alias("first_seq"), F.col("_first.start").alias("first_start"))
 
 
+def merge_vaults(stores: DataFrame) -> DataFrame:
+    """Stores made by ``upsert_vault`` from different entries as one, as if made from all of them."""
+    return stores.groupBy("scope", "token").agg(
+        F.max_by("original", F.struct("seq", "first_seq", "first_start")).alias("original"), F.max("seq").alias("seq"),
+        F.min(F.struct("first_seq", "first_start")).alias("_first"),
+    ).select("scope", "token", "original", "seq", "_first.first_seq", "_first.first_start")
+
+
 def _tokens_in(col: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(col, F.lit(TOKEN_REGEX), F.lit(0)))
 

@@ -822,10 +822,10 @@ def _events_with_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_event_stream(spark, path, "parquet", files_per_trigger=1)
 
 
-def _guarded_with_pauses(spark: SparkSession, sf_dir: str) -> str:
+def _guarded_with_pauses(spark: SparkSession, sf_dir: str, sessions: bool = False) -> str:
     path = scratch(spark)
     stream = guard.guard_stream(_events_with_pauses(spark, sf_dir))
-    guard.start_guard(stream, f"{path}/out", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    guard.start_guard(stream, f"{path}/out", f"{path}/checkpoint", sessions=sessions, availableNow=True).awaitTermination()
     return f"{path}/out"
 
 
@@ -841,9 +841,8 @@ def stream_guard_pauses(spark, sf_dir):
   FROM steps s JOIN vault v ON v.doc_id = s.event_id WHERE s.status = 'intercepted' GROUP BY s.user_id, v.token""",
     _BY_SEQ, _GATED, _GUARD_GATED, recursive=True))
 def stream_vault(spark, sf_dir):
-    """The vault of each session after the stream: the entries of all batches, merged."""
-    entries = spark.read.parquet(f"{_guarded_with_pauses(spark, sf_dir)}/vault")
-    return guard.session_vault(entries).select("scope", "token", "original")
+    """The vault of each session after the stream, as the batches kept it."""
+    return guard.session_store(spark, _guarded_with_pauses(spark, sf_dir, sessions=True)).select("scope", "token", "original")
 
 
 @query("live_summary", O.audited(_EVENTS, f"""SELECT (SELECT count(*) FROM log) AS total_events, (SELECT CAST(sum(threats_count) AS BIGINT) FROM log) AS total_threats_blocked,

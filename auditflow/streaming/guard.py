@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,14 +15,16 @@ from auditflow.operators.anonymize import vault
 from auditflow.operators.auditlog import (
     ACTIVITY_BINS, ACTIVITY_ROWS, RECENT, assign_log_ids, audit_summary, guardian_counters, log_entries)
 from auditflow.operators.events import long_enough
-from auditflow.operators.restore import upsert_vault
+from auditflow.operators.restore import merge_vaults, upsert_vault
 from auditflow.operators.score import audit
+from auditflow.sources.buckets import BUCKETS, read_buckets, update_buckets
 from auditflow.sources.tables import write_batch
 
 KEYS = ("user", "machine", "session_id")
 IDLE_MS = 7 * 24 * 3600 * 1000
 #: Ids that each micro-batch has for its log rows.
 BATCH_IDS = 1 << 32
+SESSION_DDL = "scope string, token string, original string, seq bigint, first_seq bigint, first_start int"
 _STATE = "paused boolean, last_sanitized string, last_clean string"
 
 
@@ -100,13 +102,14 @@ def guard_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 
 def start_guard(events: DataFrame, path: str, checkpoint: str, keep_original: bool = False,
-                **trigger) -> StreamingQuery:
+                sessions: bool = False, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Run the guard: per micro-batch, write the log, the vault entries and the statuses.
 
     Each batch has folders of its own, so a batch that is replayed after a failure
     replaces what it wrote before.  A log row's id is made of its batch and its place in it
     (from 1, by guard and ``seq``), so ids are unique, ascend from batch to batch, have no gap in a batch,
-    and a replay gives the same ones.
+    and a replay gives the same ones.  With ``sessions`` the vault of the sessions is kept as well
+    (``session_store``), in buckets of which a batch rewrites only those that its sessions fall into.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -115,13 +118,22 @@ def start_guard(events: DataFrame, path: str, checkpoint: str, keep_original: bo
         log = numbered.withColumn("id", F.col("id") + F.lit(batch_id).cast("long") * BATCH_IDS)
         write_batch(log, f"{path}/log", batch_id)
         scope = F.concat_ws("/", *KEYS)
-        write_batch(vault(hits, "session_id", scope, F.col("seq")), f"{path}/vault", batch_id)
+        entries = vault(hits, "session_id", scope, F.col("seq"))
+        write_batch(entries, f"{path}/vault", batch_id)
         write_batch(batch.select(*KEYS, "seq", "status"), f"{path}/statuses", batch_id)
+        if sessions:
+            new = batch.sparkSession.read.schema(entries.schema).parquet(f"{path}/vault/batch_id={batch_id}")
+            update_buckets(upsert_vault(new), f"{path}/sessions", ["scope"], batch_id, merge_vaults, buckets)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def session_store(spark: SparkSession, path: str) -> DataFrame:
+    """The vault of each session (SESSION_DDL) after the last micro-batch of ``start_guard(sessions=True)``."""
+    return read_buckets(spark, f"{path}/sessions", SESSION_DDL)
+
+
 def session_vault(entries: DataFrame) -> DataFrame:
     """The merged vault of each session, the last value per token."""
     return upsert_vault(entries)
