@@ -18,36 +18,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS = 64
-_MANIFEST = "version bigint, bucket int, at bigint"
+BUCKETS = 16
+_PLACES = "bucket int, at bigint"
 
 
 def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
     return F.pmod(F.hash(*keys), F.lit(buckets))
 
 
-def places(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """The present version of each bucket, as of the last batch (before ``before``); at most one entry a bucket."""
+def _manifest(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return {}
-    if before is not None:
-        manifest = manifest.where(F.col("version") < before)
-    newest = manifest.agg(F.max("version")).first()[0]
+        return None
+
+
+def places(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The present version of each bucket, as of the last batch (before ``before``); at most one entry a bucket.
+
+    A batch finds the manifest of the one right before it by its name, so its cost does not grow
+    with the number of batches; only where that batch was empty, or for a reader, are all listed.
+    """
+    newest = _manifest(spark, f"{path}/manifest/version={before - 1}", _PLACES) if before else None
     if newest is None:
-        return {}
-    return {r["bucket"]: r["at"] for r in manifest.where(F.col("version") == newest).collect()}
+        every = _manifest(spark, f"{path}/manifest", f"version bigint, {_PLACES}")
+        if every is None:
+            return {}
+        earlier = every if before is None else every.where(F.col("version") < before)
+        newest = earlier.where(F.col("version") == F.lit(earlier.agg(F.max("version")).first()[0]))
+    return {r["bucket"]: r["at"] for r in newest.collect()}
+
+
+def _rows(spark: SparkSession, path: str, schema: StructType | str, found: dict[int, int]) -> DataFrame:
+    folders = [f"{path}/data/version={at}/bucket={b}" for b, at in found.items()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def read_buckets(spark: SparkSession, path: str, schema: StructType | str, before: int | None = None,
-                 only: set[int] | None = None) -> DataFrame:
-    """The table as of the last batch (before ``before``), or some buckets of it; no rows if there is none yet."""
-    found = [f"{path}/data/version={at}/bucket={b}" for b, at in places(spark, path, before).items() if only is None or b in only]
-    reader = spark.read.schema(schema)
-    return reader.parquet(*found) if found else spark.createDataFrame([], schema)
+def read_buckets(spark: SparkSession, path: str, schema: StructType | str, before: int | None = None) -> DataFrame:
+    """The table as of the last batch (before ``before``); no rows if there is none yet."""
+    return _rows(spark, path, schema, places(spark, path, before))
 
 
 def touched(changes: DataFrame, keys: list[str], buckets: int = BUCKETS) -> set[int]:
@@ -66,9 +77,9 @@ def update_buckets(changes: DataFrame, path: str, keys: list[str], batch_id: int
     hit = touched(changes, keys, buckets)
     if not hit:
         return
-    old = read_buckets(spark, path, schema, batch_id, hit)
+    present = places(spark, path, batch_id)
+    old = _rows(spark, path, schema, {b: at for b, at in present.items() if b in hit})
     merged = merge(old.unionByName(changes)).select(*schema.names, bucket_of(keys, buckets).alias("bucket"))
     merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={batch_id}")
-    now = places(spark, path, batch_id) | dict.fromkeys(hit, batch_id)
-    entries = spark.createDataFrame(sorted(now.items()), "bucket int, at bigint")
+    entries = spark.createDataFrame(sorted((present | dict.fromkeys(hit, batch_id)).items()), _PLACES)
     entries.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={batch_id}")
