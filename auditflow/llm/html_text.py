@@ -5,19 +5,21 @@ them; its density is characters per tag, lessened by a logarithm that grows with
 of links.  A node's density sum is that of its children.  The subtree with the greatest
 sum is the content; the least density on the path from it to the body is the threshold that
 a child of the path must reach, with as much plain text as the content's own blocks, to
-be content as well.  Article and main parts are only weighed: their density counts WEIGHT times,
+be content as well; beside the content itself, unless that is an article, plain text of any length is
+content, and a heading belongs to the block behind it.  Article and main parts are only weighed: their density counts WEIGHT times,
 when the content lies inside one and may be widened to it, and when one beside the path, of
 whatever length, is held against the threshold.
 
 Menus, headers, footers, sidebars, forms, notices, adverts and reader comments are left out by
 their elements and by the names in their class, id and role, before densities count, unless such a
-form or named element (not readers' comments) holds most of the page's text outside links;
+form or named element (not readers' comments) holds most of the page's text outside links, or is a
+paragraph of an article, without links, whose name is an ordinary word (share, related);
 scripts, styles and other parts without text never enter the tree.
 
 Defined cases: null, empty and textless pages have empty text; unclosed elements end where
 the next block or the page ends; an unclosed tag, comment or script ends the page; a page
 without body elements is its own body; stray end tags are ignored; equal sums go to the
-first node; an empty table gives an empty result; further columns are not read.
+first node; texts of any length are read whole, in time linear in their length and depth; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,6 +70,10 @@ HEADINGS = frozenset("discussion comment comments notice notices notification re
 #: Marks of what readers write, which may well be longer than the content.
 READERS = frozenset("comment comments commentlist comment-list post-comments disqus respond replies reply discussion".split())
 
+#: Marks that an article's own paragraphs may have as ordinary words.
+WORDS = HEADINGS - READERS - frozenset("notice notices notification promotion sponsor copyright advertising".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 #: Blocks that hold a part of a text; the content is what holds them.
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt br hr".split())
 #: What counts for an article or main part where its density is held against the densest subtree inside it, or the threshold.
@@ -75,18 +81,24 @@ WEIGHT = 2.0
 
 
 class Node:
-    __slots__ = ("tag", "parent", "first", "last", "marked", "chars", "tags", "link_chars", "link_tags", "density", "sum", "children", "plain")
+    __slots__ = ("tag", "parent", "first", "last", "marked", "chars", "tags", "link_chars", "link_tags", "density", "sum", "children", "plain", "links",
+                 "article", "depth", "scope")
 
     def __init__(self, tag: str, parent: Node | None, first: int, marked: int):
         self.tag, self.parent, self.first, self.last, self.marked = tag, parent, first, first, marked
         self.plain = 0
+        self.links = False
+        self.article = tag in ("article", "main")
+        self.depth = parent.depth + 1 if parent else 0
+        self.scope: int = self.depth if parent is None or tag in _SCOPE else parent.scope  # depth of the nearest scope around
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.children: list[Node] = []
 
 
 def _is_marked(tag: str, attributes: str) -> int:
-    """Whether an element is left out by its name, or by the names in its attributes: 0 no, 1 unless it wraps the page, 2 always."""
+    """Whether an element is left out by its name, or by the names in its attributes: 0 no, 1 unless it wraps the page,
+    2 always, -1 unless it is an article's own and without links."""
     marked = 0
     if tag in DROPPED:
         if tag not in ("form", "fieldset"):
@@ -102,7 +114,9 @@ def _is_marked(tag: str, attributes: str) -> int:
             names = MARKS.intersection(value.split())
             if name == "id":
                 names -= HEADINGS
-            if names and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if names and tag == "p" and names <= WORDS and marked < 1:
+                marked = -1
+            elif names and tag not in HEADS:
                 marked = max(marked, 1 if READERS.isdisjoint(names) else 2)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return 2
@@ -113,13 +127,14 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of a page, and its stretches of text in page order; a block's edge is a stretch ' '."""
     root = Node("html", None, 0, 0)
     here, body, at, pieces = root, None, 0, []
-    opened: Counter[str] = Counter()  # open elements by name, so that a stray end tag costs no search
+    opened: defaultdict[str, list[Node]] = defaultdict(list)  # open elements by name, so that no end costs a search
 
     def close(node: Node) -> None:
         nonlocal here
         while here is not node.parent:
             here.last = len(pieces)
-            opened[here.tag] -= 1
+            if here is not root:
+                opened[here.tag].pop()
             here = here.parent
 
     while at < len(html):
@@ -149,10 +164,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             if after == "/":
                 if not opened[tag]:
                     continue
-                node = here
-                while node is not root and node.tag != tag and not (node.tag in _SCOPE and tag not in _SCOPE and tag in BLOCKS):
-                    node = node.parent
-                if node is not root and node.tag == tag:
+                node = opened[tag][-1]
+                if tag in _SCOPE or tag not in BLOCKS or node.depth > here.scope:
                     close(node)
                 continue
             if tag in RAW:
@@ -169,23 +182,17 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                     if node is not root:
                         close(node)
                     here.children.append(body := Node("body", here, len(pieces), 0))
-                    opened["body"] += 1
+                    opened["body"].append(body)
                     here = body
                 elif tag in VOID:
                     here.tags += 1
                 continue
-            node = here  # an open element may end where this one starts
-            while node is not root and node.tag not in _SCOPE and any(opened[x] for x in ENDED_BY.get(tag, ())):
-                if tag in CLOSED_BY.get(node.tag, ()):
-                    close(node)
-                    break
-                node = node.parent
-            else:
-                if node is not root and tag in CLOSED_BY.get(node.tag, ()):
-                    close(node)
+            ending = max((opened[x][-1] for x in ENDED_BY.get(tag, ()) if opened[x]), key=lambda n: n.depth, default=None)
+            if ending is not None and ending.depth >= here.scope:  # an open element may end where this one starts
+                close(ending)
             node = Node(tag, here, len(pieces), _is_marked(tag, rest))
             here.children.append(node)
-            opened[tag] += 1
+            opened[tag].append(node)
             here = node
     close(root) if here is not root else None
     root.last = len(pieces)
@@ -202,16 +209,19 @@ def _measure(body: Node, pieces: list[tuple[Node, str]]) -> list[Node]:
         node.plain += len(piece.strip())
     for node in reversed(every):
         if node.tag == "a":
-            node.plain = 0
+            node.links, node.plain = node.plain > 0 or node.links, 0
         if node is not body:
             node.parent.plain += node.plain
+            node.parent.links |= node.links
+            node.parent.article |= node.article
     order, stack = [], [(body, False)]
     while stack:
         node, inside = stack.pop()
         order.append(node)
         inside = inside or node.tag in ("article", "main")
         # What is no content unless it holds the page's article or most of its text; an article's own header is content.
-        node.children = [c for c in node.children if not (c.marked or c.tag == "header" and not inside) or c.marked < 2 and 2 * c.plain > body.plain or _holds_article(c)]
+        node.children = [c for c in node.children if not (c.marked or c.tag == "header" and not inside) or c.marked < 0 and inside and not c.links
+                         or c.marked < 2 and 2 * c.plain > body.plain or c.article]
         stack.extend((c, inside) for c in reversed(node.children))
     for node, piece in pieces:
         if piece != " ":
@@ -235,14 +245,29 @@ def _measure(body: Node, pieces: list[tuple[Node, str]]) -> list[Node]:
     return order
 
 
-def _holds_article(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in ("article", "main"):
-            return True
-        stack.extend(x.children)
-    return False
+def _beside(path: list[Node], threshold: float, usual: float, headed: bool) -> list[Node]:
+    """What is content beside the path: articles as dense as the threshold, and blocks as dense and as long.
+
+    Beside content that is no article, paragraphs and what holds some stay however short; a heading goes with
+    the block behind it, unless the content is an article with headings of its own.
+    """
+    inside, found = {id(n) for n in path}, []
+    loose = path[0].tag not in ("article", "main")
+    for level, node in enumerate(path[1:]):
+        follows = False
+        for c in reversed(node.children):
+            if id(c) in inside:
+                follows = True
+            elif c.chars and c.tag in BLOCKS:
+                heading = c.tag in HEADS
+                block = c.tag == "p" or any(x.tag == "p" for x in c.children)
+                dense = c.density * (WEIGHT if c.article else 1) >= threshold
+                ok = 2 * c.link_chars < c.chars and (
+                    dense and (c.article or c.chars >= usual and (heading or block)) or heading and follows and (loose or not headed) or block and loose and not level)
+                if ok:
+                    found.append(c)
+                follows = ok
+    return found
 
 
 def _text(node: Node, pieces: list[tuple[Node, str]], kept: set[int]) -> str:
@@ -271,10 +296,8 @@ def main_text(html: str | None) -> str:
         best = path[0]
     own = sorted(n.chars for n in order if n.tag == "p" and n.first >= best.first and n.last <= best.last)
     usual = own[len(own) // 2] if own else best.chars
-    parts = [best]
-    for node in path[1:]:  # what stands beside the path: articles as dense, and blocks as dense and as long
-        parts += [c for c in node.children if c not in path and c.tag in BLOCKS and c.density * (WEIGHT if _holds_article(c) else 1) >= threshold and 2 * c.link_chars < c.chars
-                  and (_holds_article(c) or c.chars >= usual and (c.tag == "p" or c.tag[:1] == "h" and c.tag[1:].isdigit() or any(x.tag == "p" for x in c.children)))]
+    headed = any(n.tag in HEADS and n.first >= best.first and n.last <= best.last for n in order)
+    parts = [best, *_beside(path, threshold, usual, headed)]
     kept = {id(n) for n in order}
     return " ".join(filter(None, (_text(n, pieces, kept) for n in sorted(parts, key=lambda n: n.first))))
 

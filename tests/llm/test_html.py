@@ -1,8 +1,12 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
+from auditflow.llm import html_text
 from auditflow.llm import queries as Q
 from auditflow.llm.html_text import extract, main_text
 
@@ -79,3 +83,71 @@ def test_cases(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == [("1", "", 0), ("2", "", 0), ("2", "", 0), ("None", PLAIN, len(PLAIN))]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div><h1>My Title</h1><div class=content>{Q1}</div></div>", f"My Title {ONE}"),
+    (f"<body><div class=nav><a href=1>x</a></div><div><h1>My Title</h1><p>A lead.</p><div class=content>{Q1}</div><p>The end.</p></div><footer>f</footer>", f"My Title A lead. {ONE} The end."),
+    (f"<body><div><section><p>First.</p></section><section>{Q1}{Q2}</section><section><p>Last.</p></section></div>", f"First. {ONE} {TWO} Last."),
+    (f"<body><article>{Q1}<p class='share'>Share of the market rose.</p>{Q2}<p class=share><a href=1>Share</a> this.</p></article>", f"{ONE} Share of the market rose. {TWO}"),
+    (f"<body><h1>My Title</h1><article>{Q1}</article>", f"My Title {ONE}"),
+    (f"<body><h1>Site</h1><article><h1>Title</h1>{Q1}</article><p>Rights.</p>", f"Title {ONE}"),
+    (f"<body><div>{Q1}</div><div><p><a href=1>Terms</a> <a href=2>Mail</a></p></div>", ONE),
+])
+def test_titles_leads_and_short_parts_stay(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<li><div>" + "<i>" * 50_000 + "</li>" * 50_000 + "x", "<div>" * 50_000 + "x", "<div class=ad>" * 50_000 + "x", "<div><p>y</p>" * 25_000,
+    "<p>" + "<b>" * 50_000 + "<p>" * 50_000 + "x", "<table><tr><td>" * 15_000 + "x", "<li>x" * 50_000 + "</ul>" * 50_000,
+])
+def test_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 4
+
+
+def _density(node, share):
+    """Composite text density straight from its definition: characters, tags, link characters, link tags, density."""
+    below = [_density(c, share) for c in node.children]
+    chars = node.own + sum(b[0] for b in below)
+    tags = node.own_tags + sum(b[1] + 1 for b in below)
+    link = node.tag == "a"
+    links = chars if link else sum(b[2] for b in below)
+    link_tags = (1 if link else 0) + sum(b[3] for b in below)
+    if not chars:
+        return chars, tags, links, link_tags, 0.0
+    base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+    return chars, tags, links, link_tags, chars / max(tags, 1) * max(math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1), max(base, 1 + 1e-9)), 0.0)
+
+
+class Plain:
+    def __init__(self, tag, own, own_tags, children):
+        self.tag, self.own, self.own_tags, self.children = tag, own, own_tags, children
+
+
+def test_densities_equal_their_definition():
+    draw = random.Random(3)
+
+    def tree(depth):
+        tag = draw.choice(["div", "section", "span", "b", "a"])
+        words = "w" * draw.randrange(1, 40)
+        return Plain(tag, len(words), 0, [tree(depth - 1) for _ in range(draw.randrange(0, 4))] if depth and tag != "a" else [])
+
+    def markup(t):
+        return f"<{t.tag}>{'w' * t.own}{''.join(map(markup, t.children))}</{t.tag}>"
+
+    for _ in range(60):
+        top = Plain("body", 3, 0, [tree(3) for _ in range(3)])
+        body, pieces = html_text.parse(f"<body>www{''.join(map(markup, top.children))}")
+        body.last = len(pieces)
+        found = html_text._measure(body, pieces)
+        chars, _, links, _, _ = _density(top, 0.0)
+        want, stack = [], [top]
+        while stack:
+            t = stack.pop()
+            want.append(_density(t, links / max(chars, 1)))
+            stack.extend(reversed(t.children))
+        assert [(n.chars, n.link_chars) for n in found] == [(w[0], w[2]) for w in want]
+        assert [n.density for n in found] == pytest.approx([w[4] for w in want])
