@@ -11,6 +11,9 @@ unless they are word for word.  An item has leaked where a passage holds at leas
 its windows.  So a question with other numbers, names or units is caught, and a text that
 merely has numbers in like places is not.
 
+A window of placeholders alone is joined by the word next to its run and the distance from it, so that a long list of
+numbers does not meet every item with five of them; a number put into such a run moves the windows behind it.
+
 Documents are scanned once, in a narrow stage.  A bit map of fixed size, made from the
 benchmark's hashes, lets through the few windows that can join; the join itself is exact and
 left to Spark, however large the benchmark is.
@@ -18,7 +21,7 @@ left to Spark, however large the benchmark is.
 Defined cases: null or empty texts match nothing; items with fewer tokens than a window
 match nothing; equal items each get their rows; rows that repeat an id are judged one by one
 and reported once; null ids are not reported, but ``clean`` judges rows without a doc_id too;
-an empty table gives an empty result; further columns are not read.
+texts of any length are read whole; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -105,6 +108,14 @@ def _hash(value: str) -> int:
     return int(T.word_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0])
 
 
+def _hashes(values: list[str]) -> np.ndarray:
+    """The hash of each of many words."""
+    raw = [v.encode() for v in values]
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    return T.word_hashes(np.frombuffer(b"".join(raw) or b" ", np.uint8), ends - [len(r) for r in raw], ends)
+
+
+_PLACEHOLDERS = np.array([_hash(x) for x in (_NUM, _NAME, _UNIT)], np.uint64)
 _FREE = np.sort(np.array([_hash(u) for u in sorted(FREE_UNITS)], np.uint64))
 
 
@@ -188,22 +199,31 @@ def readings(column: pa.Array) -> Readings:
     special = numeric | (strange[ends] > strange[starts]) | (second & sign)[np.minimum(starts + 1, len(data) - 1)]
     special |= _sums(second & sign)[ends] > _sums(second & sign)[starts]
     special[1:] |= numeric[:-1]
-    raw, seen = data.tobytes(), {}
-    for k in np.flatnonzero(special).tolist():
+    raw, seen, numbers, which = data.tobytes(), {}, {}, []
+    odd = np.flatnonzero(special)
+    for k in odd.tolist():
         word = raw[starts[k] : ends[k]]
-        if begins[k]:
-            told = None
-        elif numeric[k - 1]:
-            told = raw[starts[k - 1] : ends[k - 1]].decode()
-        else:
+        told = None
+        if not begins[k]:  # of the word in front it matters whether it is a number and whether it ends a sentence
             told = "." if opened[k] else "x"
-        got = seen.get((word, told))
-        if got is None:
-            t, slot = token(word.decode(), told)
-            inside, low = token(word.decode(), "x") if t and not slot else ("", "")
-            own = inside == _NAME
-            got = seen[word, told] = (_hash(t) if t else 0, _hash(low if own else slot) | 1 if own or slot else 0, bool(t), t == _NAME, own)
-        codes[k], slots[k], keep[k], name[k], maybe[k] = got
+            if numeric[k - 1]:
+                front = raw[starts[k - 1] : ends[k - 1]]
+                if (number := numbers.get(front)) is None:
+                    number = numbers[front] = _is_number(front.decode())
+                if number:
+                    told = "1." if opened[k] else "1"
+        which.append(seen.setdefault((word, told), len(seen)))
+    read = []
+    for word, told in seen:
+        t, slot = token(word.decode(), told)
+        inside, low = token(word.decode(), "x") if t and not slot else ("", "")
+        own = inside == _NAME
+        read.append((t, low if own else slot, t == _NAME, own))
+    if read:
+        tokens_of, slots_of = (np.array([bool(x) for x in c]) for c in list(zip(*read, strict=True))[:2])
+        hashes = [_hashes([r[c] for r in read]) for c in (0, 1)]
+        codes[odd], slots[odd] = np.where(tokens_of, hashes[0], 0)[which], np.where(slots_of, hashes[1] | np.uint64(1), 0)[which]
+        keep[odd], name[odd], maybe[odd] = tokens_of[which], np.array([r[2] for r in read])[which], np.array([r[3] for r in read])[which]
     # A name that follows another without a sign between them is part of it.
     joins = np.zeros(n, bool)
     joins[1:] = name[1:] & (name | maybe)[:-1] & (right == ends)[:-1] & (left == starts)[1:]
@@ -263,22 +283,62 @@ def _other_windows(found: Readings) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return place[used], total[used], path[used]
 
 
+def _run_keys(found: Readings, places: np.ndarray, paths: np.ndarray, grams: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three join keys of windows of placeholders alone, and which of them each window has.
+
+    By its hash alone such a window would meet every other one.  So it is told by the nearest word of its text in front
+    of the run of placeholders and its distance from it; else by the nearest one behind; else by its slot values.
+    """
+    m = len(found.codes)
+    hard = ~np.isin(found.codes, _PLACEHOLDERS)
+    hard[found.other] = False
+    row = T.row_of(found.first)[places]
+    before = np.maximum.accumulate(np.where(hard, np.arange(m), -1))[places]
+    after = np.minimum.accumulate(np.where(hard, np.arange(m), m)[::-1])[::-1][places]
+    keys, there = [], [before >= found.first[row], after < found.first[row + 1], np.ones(len(places), bool)]
+    for kind, near in enumerate((before, after)):
+        near = np.clip(near, 0, m - 1)
+        far = np.abs(spot[places] - spot[near]).astype(np.uint64)
+        keys.append(T.mixed(T.mixed(T.mixed(grams * T._ODD + found.codes[near]) * T._ODD + far) * T._ODD + np.uint64(kind)))
+    values, total = np.concatenate([found.slots, found.named]), grams
+    for k in range(WINDOW):
+        total = T.mixed(total * T._ODD + values[paths[:, k]])
+    return np.stack([*keys, total]), np.stack(there)
+
+
 def _window_rows(batch: pa.RecordBatch, name: str, bits: np.ndarray | None = None) -> pa.RecordBatch:
-    """The windows of a batch of texts; with ``bits`` those alone whose hash prefix is marked there."""
+    """The windows of a batch of texts; with ``bits`` those alone whose hash prefix is marked there.
+
+    A window of placeholders alone has the first of its keys; with ``bits`` all of them.
+    """
     found = readings(batch.column("text"))
     codes, first, m = found.codes, found.first, len(found.codes)
+    spot = np.arange(m) - _sums(found.tied)[1:]
     places, grams = T.windows(codes, first, WINDOW)
-    others, other_grams, path = _other_windows(found)
-    paths = np.concatenate([np.full((len(places), WINDOW), -1), path])
-    paths[: len(places)] = places[:, None] + np.arange(WINDOW)
-    places, grams = np.concatenate([places, others]), np.concatenate([grams, other_grams])
-    if bits is not None:
+    others, other_grams, other_paths = _other_windows(found)
+    soft = np.isin(codes, _PLACEHOLDERS)
+    in_front = _sums(soft)
+    pure = np.concatenate([in_front[places + WINDOW] - in_front[places] == WINDOW, np.append(soft, np.ones(len(found.other), bool))[other_paths].all(axis=1)])
+    plain, places, grams = len(places), np.concatenate([places, others]), np.concatenate([grams, other_grams])
+
+    def paths_of(at: np.ndarray) -> np.ndarray:
+        out = places[at][:, None] + np.arange(WINDOW)
+        out[at >= plain] = other_paths[at[at >= plain] - plain]
+        return out
+
+    at = np.flatnonzero(pure)
+    keys, there = _run_keys(found, places[at], paths_of(at), grams[at], spot)
+    if bits is None:
+        grams[at] = keys[np.argmax(there, axis=0), np.arange(len(at))]
+        pick = np.arange(len(grams))
+    else:
+        pick = np.concatenate([np.flatnonzero(~pure), *(at[x] for x in there)])
+        grams = np.concatenate([grams[~pure], *(k[x] for k, x in zip(keys, there, strict=True))])
         at = grams >> np.uint64(64 - MAP_BITS)
-        marked = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-        pick = np.flatnonzero(marked)
-        places, grams, paths = places[pick], grams[pick], paths[pick]
+        marked = np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+        pick, grams = pick[marked], grams[marked]
+    paths, places = paths_of(pick), places[pick]
     # A name that another reading takes in has no place of its own.
-    spot = np.arange(m) - _sums(found.tied)[1:]
     begin = first[:-1]
     spots = T.row_sums(~found.tied, first)
     size = np.maximum(spots - WINDOW + 1, np.minimum(np.diff(first) - WINDOW + 1, 1))

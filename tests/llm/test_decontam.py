@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pyarrow as pa
 from cases import TEXTS, docs
@@ -162,3 +164,25 @@ def test_map_of_bits(spark):
     bits = decontam.bit_map(windows)
     assert sum(int(b).bit_count() for b in bits) == 4
     assert len(bits) == 1 << (decontam.MAP_BITS - 3) and T.BLANK.sum() == 6
+
+
+def test_long_lists_of_numbers_meet_few_windows(spark):
+    draw = random.Random(5)
+    bench = [" ".join(draw.sample(WORDS, 8) + [str(draw.randrange(999)) for _ in range(8)] + draw.sample(WORDS, 8)) for _ in range(200)]
+    other = [re.sub(r"\d+", lambda m: str(int(m[0]) + 1000), t) for t in bench[:3]]
+    long = " ".join(str(draw.randrange(10_000)) for _ in range(1_000_000))
+    start = time.time()
+    got = found(spark, [long, f"{long[:500]} {bench[7]} {long}", *other, bench[9]], bench)
+    assert time.time() - start < 60
+    assert got == {(1, 7): (1.0, False), (2, 0): (1.0, True), (3, 1): (1.0, True), (4, 2): (1.0, True), (5, 9): (1.0, False)}
+
+
+def test_items_of_numbers_alone_are_found_word_for_word(spark):
+    numbers = "12 45 7 81 33 90 4"
+    assert found(spark, [f"some words {numbers} more words", "12 45 7 81 34 91 5", "9 1 45 7 2 3 8 1 1"], [numbers]) == {(0, 0): (1.0, False)}
+
+
+def test_runs_at_the_edges_of_an_item(spark):
+    item = "3 4 5 6 7 8 pens were sold to the first shop in town and then 1 2 3 4 5 6"
+    text = "13 14 15 16 17 18 pens were sold to the first shop in town and then 21 22 23 24 25 26"
+    assert found(spark, [f"99 98 97 {text} 77 76", f"words {text} words"], [item]) == {(0, 0): (1.0, True), (1, 0): (1.0, True)}
