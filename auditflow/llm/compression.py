@@ -1,14 +1,14 @@
 """Quality by compression: which of two zstandard dictionaries shortens a text more.
 
-One dictionary is trained on pieces of good labelled texts, the other on pieces of bad
-ones.  A text is cut into blocks, and each block is compressed with both; so the
+One dictionary is trained on whole good labelled texts, cut into blocks, the other on bad
+ones; how many texts is bounded, their length is not.  A text is cut into blocks, and each block is compressed with both; so the
 dictionaries matter over the whole of a long text.  The difference of the two sizes, per
 byte of text, becomes a probability by a logistic curve fitted on labelled texts that the
 dictionaries have not seen.
 
 Defined cases: null and empty texts have the difference 0 and the probability that belongs
 to it; without labelled rows of both kinds every score is 0.5; repeated rows give
-repeated results; an empty table gives an empty result; further columns are not read.
+repeated results, and of rows that share an id one text is learned from; texts of any length are read whole; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from auditflow.llm import text as T
 
 BLOCK = 2048
 DICTIONARY = 32 << 10
+#: Bytes of the blocks in which whole texts go to the trainer; chosen, like the number of texts, on rows learned from.
+PIECE = 200
 LEVEL = 3
-#: Pieces that a chosen text gives to its dictionary, and their bytes.
-PIECES, PIECE = 3, 400
 PREDICT_FROM = 0.3
 
 
@@ -77,35 +77,34 @@ def _dictionary(pieces: list[bytes], size: int) -> bytes:
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    found = sorted({(r[0], r[1]) for r in ids.select("doc_id", "y").collect()})
-    return docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(found, "doc_id bigint, y int")), "doc_id")
+    """doc_id, y and one text of each chosen id, so that rows which share an id count once."""
+    found = sorted({(r[0], r[1]) for r in ids.select("doc_id", "y").distinct().collect()})
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(found, "doc_id bigint, y int"))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, calibrate: int = 2000) -> CompressionModel | None:
+def _trained(group: pa.Table) -> pa.Table:
+    """The dictionary of one label, from all blocks of its chosen texts."""
+    raw = [(t or "").encode() for t in group.column("text").to_pylist()]
+    blocks = sorted({t[k : k + PIECE] for t in raw for k in range(0, len(t), PIECE)})
+    mixed = np.random.default_rng(7).permutation(len(blocks))
+    words = _dictionary([blocks[k] for k in mixed], DICTIONARY) if blocks else b""
+    return pa.table({"y": pa.array([group.column("y")[0].as_py()], pa.int32()), "words": pa.array([words], pa.binary())})
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 600, calibrate: int = 2000) -> CompressionModel | None:
     """Dictionaries from about ``per_label`` texts of each label, the curve from about ``calibrate`` other texts.
 
-    ``labels`` holds doc_id and quality.  A few pieces of each chosen text come to the driver, then one
-    number for each text of the second sample.
+    ``labels`` holds doc_id and quality.  A task for each label trains its dictionary; the two dictionaries come to
+    the driver, then one number for each text of the second sample.
     """
     labels = labels.select("doc_id", F.col("quality").alias("y"), F.lit(1).alias("any")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(2))
     first = _chosen(docs, learn.bounded_sample(labels.where(half == 0), "y", "doc_id", per_label))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True):
-                raw = (text or "").encode()
-                places = np.random.default_rng(abs(key)).integers(0, max(1, len(raw) - PIECE), PIECES) if len(raw) > PIECES * PIECE else range(0, len(raw), PIECE)
-                out += [{"y": y, "piece": raw[k : k + PIECE]} for k in places]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("piece", pa.binary())]))
-
-    found = sorted({(r["y"], bytes(r["piece"])) for r in first.mapInArrow(pieces, "y int, piece binary").collect()})
-    mixed = np.random.default_rng(7).permutation(len(found))
-    kinds = [[found[k][1] for k in mixed if found[k][0] == y] for y in (1, 0)]
-    if not all(kinds):
+    found = {r["y"]: bytes(r["words"]) for r in first.select("y", "text").groupBy("y").applyInArrow(_trained, "y int, words binary").collect()}
+    if not found.get(0) or not found.get(1):
         return None
-    model = CompressionModel(_dictionary(kinds[0], DICTIONARY), _dictionary(kinds[1], DICTIONARY))
+    model = CompressionModel(found[1], found[0])
     second = _chosen(docs, learn.bounded_sample(labels.where(half == 1), "any", "doc_id", calibrate))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

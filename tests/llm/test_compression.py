@@ -46,3 +46,13 @@ def test_few_labels(spark):
     assert compression.train(table, labels.limit(0)) is None and compression.train(table, labels.where("quality = 1")) is None
     found = compression.train(table, labels)
     assert found is None or all(np.isfinite([found.slope, found.shift]))
+
+
+def test_whole_texts_are_learned_once_for_an_id(spark):
+    word = "closing words that stand at the very end only "
+    rows = [(k, f"{'neither one nor other, 0123456789 ' * 300}{word * 40}{k}", k % 2) for k in range(40)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    chosen = compression._chosen(table, table.select("doc_id", F.col("quality").alias("y")))
+    assert chosen.count() == 40
+    made = compression._trained(pa.table({"y": pa.array([1] * 40, pa.int32()), "text": [r[1] for r in rows[:40]]}))
+    assert made.num_rows == 1 and word.encode() in made.column("words")[0].as_py()
