@@ -15,7 +15,7 @@ def test_registered():
     queries = __spark_entry__.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "simhash_near_dedup", "benchmark_decontamination", "bpe"]
     assert queries["pipeline"] is corpus_pipeline.run and set(Q.QUERIES) <= set(queries)
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark):
