@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -44,3 +45,13 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state_of(table: DataFrame) -> tuple[int, str]:
+    """What a table read from files stands on: how many files, and a sum over their names, times and sizes.
+
+    It changes whenever a file is added, removed or rewritten; no column is read.
+    """
+    files = table.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    return tuple(files.select(F.xxhash64(*files.columns).cast("decimal(20)").alias("h")).agg(
+        F.count("h"), F.coalesce(F.sum("h"), F.lit(0)).cast("string")).first())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditflow.functions.lineage import cut, scratch
+from auditflow.functions.lineage import cut, scratch, state_of
 from auditflow.operators import auditlog, corpus, restore
 from auditflow.operators import events as ev
 from auditflow.operators import semantic as sem
@@ -340,21 +340,21 @@ log AS (SELECT w.doc_id, {I.DOC_SOURCE} AS source, n_findings AS threats_count,
   WHERE n_findings > 0 AND sanitized <> text)"""
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}  # (application, tables) -> folder of the log
+_WRITTEN: dict[tuple[str, str], tuple[tuple[int, str], str]] = {}  # (application, tables) -> state of the table, folder of the log
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit log of the notes, one entry per changed text, ordered by ``doc_id``.
 
-    It is a table: the notes are audited and the entries written once in an application, and
-    every log query reads them.
+    It is a table: the notes are audited and the entries written once in an application, again only if
+    the files of the table have changed, and every log query reads them.
     """
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _WRITTEN:
+    at, state = (spark.sparkContext.applicationId, sf_dir), state_of(I.load(spark, sf_dir, "customer"))
+    if at not in _WRITTEN or _WRITTEN[at][0] != state:
         path = f"{scratch(spark)}/log"
         _new_log(spark, sf_dir).write.parquet(path)
-        _WRITTEN[at] = path
-    return spark.read.parquet(_WRITTEN[at])
+        _WRITTEN[at] = (state, path)
+    return spark.read.parquet(_WRITTEN[at][1])
 
 
 def _new_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditflow.operators import auditlog
 from auditflow.operators.score import audit
+from auditflow.plans import queries
 from auditflow.sources import tables
 
 ROWS = "id bigint, threats_count int, categories array<string>, vault map<string,string>, original_text string, sanitized_text string"
@@ -127,3 +128,13 @@ def test_spread(spark):
     assert tables.spread(small, "doc_id").rdd.getNumPartitions() >= 8
     wide = spark.range(0, 100, 1, 64)
     assert tables.spread(wide, "id") is wide
+
+
+def test_a_changed_table_gives_a_new_log(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/customer.parquet")
+    rows.limit(40).write.parquet(f"{tmp_path}/customer.parquet")
+    first = queries._log(spark, str(tmp_path))
+    assert queries._log(spark, str(tmp_path)).inputFiles() == first.inputFiles()
+    n = first.count()
+    rows.where("c_custkey > 50").limit(40).write.mode("append").parquet(f"{tmp_path}/customer.parquet")
+    assert queries._log(spark, str(tmp_path)).count() > n
