@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditflow.functions.folds import bind
 from auditflow.functions.index import below
-from auditflow.functions.lineage import cut
+from auditflow.functions.lineage import cut, unbroadcast
 from auditflow.functions.text import computed_once, escape_html, replace_tokens, sql_name
 from auditflow.operators.anonymize import vault_entries
 
@@ -52,7 +52,7 @@ def restore(texts: DataFrame, vault: DataFrame, key: str = "doc_id",
     """
     entries = vault.groupBy(key).agg(
         F.collect_list(F.struct("token", "original", "start")).alias("_entries"))
-    joined = texts.join(entries, key, "left")
+    joined = texts.join(unbroadcast(entries), key, "left")
     return joined.withColumn("restored_text", F.when(
         F.col("_entries").isNull(), F.col(text_col)).otherwise(restored(text_col, "_entries"))
     ).drop("_entries")
@@ -97,16 +97,16 @@ def _nested(store: DataFrame) -> DataFrame | None:
     known = store.select("scope", F.col("token").alias("inner"))
     edges = store.where(F.contains("original", F.lit("["))).select(
         "scope", "token", F.explode(_tokens_in(F.col("original"))).alias("inner")
-    ).join(known, ["scope", "inner"], "left_semi")
+    ).join(unbroadcast(known), ["scope", "inner"], "left_semi")
     if edges.isEmpty():
         return None
     edges = cut(edges)
     reach, latest = edges, edges
     while True:
         onward = edges.select("scope", F.col("token").alias("inner"), F.col("inner").alias("next"))
-        latest = cut(latest.join(onward, ["scope", "inner"]).select(
+        latest = cut(latest.join(unbroadcast(onward), ["scope", "inner"]).select(
             "scope", "token", F.col("next").alias("inner")).distinct().join(
-            reach, ["scope", "token", "inner"], "left_anti"))
+            unbroadcast(reach), ["scope", "token", "inner"], "left_anti"))
         if latest.isEmpty():
             return reach
         reach = reach.unionByName(latest)
@@ -121,10 +121,10 @@ def store_entries(texts: DataFrame, store: DataFrame, key: list[str], text_col:
     wanted = texts.select("scope", *key, F.explode(_tokens_in(F.col(text_col))).alias("token"))
     nested = _nested(store)
     if nested is not None:
-        inner = wanted.join(nested, ["scope", "token"]).select("scope", *key, F.col("inner").alias("token"))
+        inner = wanted.join(unbroadcast(nested), ["scope", "token"]).select("scope", *key, F.col("inner").alias("token"))
         wanted = wanted.unionByName(inner).distinct()
     entry = F.struct("first_seq", "first_start", "token", "original")
-    return wanted.join(store, ["scope", "token"]).groupBy(*key).agg(
+    return wanted.join(unbroadcast(store), ["scope", "token"]).groupBy(*key).agg(
         F.array_sort(F.collect_list(entry)).alias("_entries"))
 
 
@@ -132,7 +132,7 @@ def restore_from_store(texts: DataFrame, store: DataFrame, key: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """Replace the tokens known to the scope's store, oldest first; ``changed`` tells whether any was."""
     entries = store_entries(texts, store, [key], text_col)
-    joined = texts.join(entries, key, "left")
+    joined = texts.join(unbroadcast(entries), key, "left")
     done = joined.withColumn("restored_text", F.when(
         F.col("_entries").isNull(), F.col(text_col)).otherwise(replace_tokens(F.col(text_col), F.col("_entries"))))
     return done.withColumn("changed", F.col("restored_text") != F.col(text_col)).drop("_entries")
@@ -156,6 +156,6 @@ def decode_responses(messages: DataFrame, store: DataFrame, key: list[str],
 
     start = F.struct(F.col(text_col).alias("text"), F.lit(0).alias("n"))
     applied = F.when(F.col("_entries").isNull(), start).otherwise(F.aggregate("_entries", start, step))
-    decoded = said.join(entries, key, "left").withColumn("_d", applied)
+    decoded = said.join(unbroadcast(entries), key, "left").withColumn("_d", applied)
     return decoded.withColumn("decoded_text", F.col("_d.text")).withColumn(
         "n_decoded", F.col("_d.n")).drop("_entries", "_d")

@@ -4,9 +4,11 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from auditflow.operators import auditlog, corpus
+from auditflow.operators import auditlog, corpus, restore
+from auditflow.operators.anonymize import vault
 from auditflow.operators.detect import findings, with_findings
 from auditflow.operators.score import audit, scores
+from auditflow.plans import inputs
 from auditflow.rules import patterns
 from auditflow.sources.tables import load
 
@@ -66,3 +68,18 @@ def test_top_and_last_rows_are_cut_early(docs, spark):
 def test_rollup_shuffles_groups_only(docs):
     p = plan(corpus.exposure_rollup(with_findings(docs.withColumn("source", F.lit("x")))))
     assert p.count("Exchange hashpartitioning") == 1 and "partial_sum" in p
+
+
+def test_generated_sides_of_joins_are_not_broadcast(spark):
+    notes, semantic = inputs.notes(spark, SF), inputs.note_semantic(spark, SF)
+    audited = audit(notes, semantic)
+    said = notes.select("doc_id", F.lit("assistant").alias("role"), F.col("doc_id").cast("string").alias("scope"), "text")
+    store = restore.upsert_vault(vault(audit(notes)))
+    frames = {
+        "audit": audited,
+        "restore": restore.restore(audited.select("doc_id", "sanitized_text"), vault(audited)),
+        "store": restore.restore_from_store(said, store),
+        "decode": restore.decode_responses(said, store, ["doc_id"]),
+    }
+    for name, df in frames.items():
+        assert "Broadcast" not in plan(df), name
