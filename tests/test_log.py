@@ -138,3 +138,11 @@ def test_a_changed_table_gives_a_new_log(spark, tmp_path):
     n = first.count()
     rows.where("c_custkey > 50").limit(40).write.mode("append").parquet(f"{tmp_path}/customer.parquet")
     assert queries._log(spark, str(tmp_path)).count() > n
+
+
+def test_appended_dates_are_not_split_over_all_tasks(spark, tmp_path):
+    days = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("id") % 5)
+    log = spark.range(1000).repartition(16).select("id", days.alias("ts"))
+    tables.append_audit_log(log, str(tmp_path))
+    assert len(list(tmp_path.glob("event_date=*/*.parquet"))) == 5
+    assert spark.read.parquet(str(tmp_path)).count() == 1000
