@@ -81,6 +81,8 @@ def guard_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     compares hashes; only texts with findings travel through it.
     """
     looked_at = events.where(F.col("text").isNull() | long_enough(F.col("text"), F.col("source")))
+    # A micro-batch may be one file and so one split: without this one task would audit all of it.
+    looked_at = looked_at.repartition(2 * events.sparkSession.sparkContext.defaultParallelism, "seq")
     audited = audit(looked_at)
     has_findings = F.size("findings") > 0
     kind = F.when(F.col("text").isNull(), "control").when(
