@@ -26,6 +26,8 @@ IDLE_MS = 7 * 24 * 3600 * 1000
 BATCH_IDS = 1 << 32
 SESSION_DDL = "scope string, token string, original string, seq bigint, first_seq bigint, first_start int"
 _STATE = "paused boolean, last_sanitized string, last_clean string"
+#: Pause rows, and the state of the guard after them; "flip" turns it round.
+_CONTROL = {"pause": True, "resume": False, "flip": None}
 
 
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
@@ -38,33 +40,40 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    # Plain lists: with many guards, frames of a few rows cost far more than deciding them.
+    columns: dict[str, list] = {c: [] for c in ("seq", "kind", "text_hash", "sanitized_hash", "payload")}
+    for batch in batches:
+        for name, values in columns.items():
+            values += batch[name].tolist()
+    seq, kinds, texts, outputs, payloads = columns.values()
+    order = sorted(range(len(seq)), key=lambda i: (seq[i] != seq[i], seq[i]))  # without a number: last
     paused, written, clean = state.get if state.exists else (False, None, None)
     statuses = []
-    for row in rows.itertuples():
-        if row.kind == "control":
-            paused = (not paused) if pd.isna(row.paused) else bool(row.paused)
+    for i in order:
+        kind = kinds[i]
+        if kind in _CONTROL:
+            paused = _CONTROL[kind] if kind != "flip" else not paused
             status = "control"
         elif paused:
             status = "paused"
-        elif row.text_hash == written:
+        elif texts[i] == written:
             status = "own_output"
-        elif row.text_hash == clean:
+        elif texts[i] == clean:
             status = "clean_repeat"
-        elif row.kind == "clean":
-            status, clean = "clean", row.text_hash
-        elif row.kind == "dirty":
-            status, written, clean = "intercepted", row.sanitized_hash, None
+        elif kind == "clean":
+            status, clean = "clean", texts[i]
+        elif kind == "dirty":
+            status, written, clean = "intercepted", outputs[i], None
         else:
             status = "unchanged"
         statuses.append(status)
     state.update((paused, written, clean))
     if idle_ms is not None and not paused:
         state.setTimeoutDuration(idle_ms)
-    out = rows[[*KEYS, "seq", "payload"]].copy()
-    out["status"] = statuses
-    out.loc[out["status"] != "intercepted", "payload"] = None
-    yield out
+    out = {name: [value] * len(order) for name, value in zip(KEYS, key, strict=True)}
+    out["seq"] = [seq[i] for i in order]
+    out["payload"] = [payloads[i] if status == "intercepted" else None for i, status in zip(order, statuses, strict=True)]
+    yield pd.DataFrame(out | {"status": statuses})
 
 
 def guard_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -85,13 +94,14 @@ def guard_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     looked_at = looked_at.repartition(2 * events.sparkSession.sparkContext.defaultParallelism, "seq")
     audited = audit(looked_at)
     has_findings = F.size("findings") > 0
-    kind = F.when(F.col("text").isNull(), "control").when(
+    control = F.when(F.col("paused"), "pause").when(~F.col("paused"), "resume").otherwise("flip")
+    kind = F.when(F.col("text").isNull(), control).when(
         has_findings & (F.col("sanitized_text") != F.col("text")), "dirty").when(
         has_findings, "unchanged").otherwise("clean")
     payload = F.struct("ts", "source", "text", "sanitized_text", "findings", "spans")
     shape = audited.select(payload.alias("p")).schema["p"].dataType
     narrow = audited.select(
-        *KEYS, "seq", "paused", kind.alias("kind"), F.sha2("text", 256).alias("text_hash"),
+        *KEYS, "seq", kind.alias("kind"), F.sha2("text", 256).alias("text_hash"),
         F.sha2("sanitized_text", 256).alias("sanitized_hash"),
         F.when(kind == "dirty", F.to_json(payload)).alias("payload"),
     )

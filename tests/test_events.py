@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,32 @@ def test_log_ids_of_a_stream(spark, expected, tmp_path):
     for batch in {b for _, _, b in first}:
         assert [i for i, _, b in first if b == batch] == [batch * guard.BATCH_IDS + 1 + k for k in range(sum(b == batch for _, _, b in first))]
     assert run("b") == first  # every batch again, into the same folders
+
+
+class _State:
+    """The state of one guard, as Spark hands it to the decision."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_guards_are_decided_without_a_frame_for_each(monkeypatch):
+    for name in ("sort_values", "itertuples"):  # milliseconds for a guard of a few events
+        monkeypatch.setattr(pd.DataFrame, name, None)
+    rows = [  # seq, kind, text, sanitized, what is expected
+        (None, "clean", "c", "c", "clean_repeat"), (3, "dirty", "a", "b", "intercepted"), (1, "clean", "c", "c", "clean"),
+        (4, "dirty", "b", "b2", "own_output"), (2, "clean", "c", "c", "clean_repeat"), (5, "clean", "c", "c", "clean"), (6, "flip", None, None, "control"),
+        (7, "clean", "d", "d", "paused"), (8, "resume", None, None, "control"), (9, "unchanged", "e", "e", "unchanged"),
+        (10, "pause", None, None, "control"), (11, "flip", None, None, "control"),
+    ]
+    frame = pd.DataFrame([("u", "m", "s", *r[:4], f"p{r[0]}") for r in rows],
+                         columns=[*guard.KEYS, "seq", "kind", "text_hash", "sanitized_hash", "payload"])
+    state = _State()
+    out = pd.concat(guard._decide(("u", "m", "s"), iter([frame[:5], frame[5:]]), state, None))
+    want = {r[0]: r[4] for r in rows}
+    assert {None if pd.isna(s) else int(s): t for s, t in zip(out["seq"], out["status"], strict=True)} == want
+    assert out["payload"].dropna().tolist() == ["p3"] and state.get == (False, "b", "c")
+    again = pd.concat(guard._decide(("u", "m", "s"), iter([frame[3:4], frame[2:3]]), state, None))
+    assert again["status"].tolist() == ["clean_repeat", "own_output"]

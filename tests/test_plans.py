@@ -42,6 +42,10 @@ def test_each_pattern_is_evaluated_once(docs):
         assert plan(df).count("regexp_extract_all(") == ONCE, name
 
 
+def test_the_words_of_the_catalogue_are_not_hashed_for_every_text(docs):
+    assert "array_intersect(" not in plan(findings(docs)) and "INSET" in plan(findings(docs))
+
+
 def test_audit_is_one_narrow_stage_without_python(docs):
     p = plan(audit(docs))
     assert "Exchange" not in p and "Python" not in p and "ArrowEval" not in p
